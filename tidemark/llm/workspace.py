@@ -57,3 +57,30 @@ class Workspace:
             self._delete(self.root)
         except Exception:  # the gateway may be gone at exit
             pass
+
+
+#: Most rows that ``lookup`` broadcasts: keys that hold over 1 in HOT_SHARE of all rows, so fewer than this.
+HOT_SHARE = 2000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, spread: str) -> DataFrame:
+    """Left join of ``rows`` with ``table`` (one row per ``key``, with its number of rows ``count``).
+
+    Keys with more than ``total / HOT_SHARE`` rows are under HOT_SHARE in number and
+    are broadcast; their rows are dealt by ``spread`` through the shuffle that joins
+    all other keys, so that no task gets a whole hot group.  Null keys find nothing
+    and are dealt by ``spread`` too.  ``table``'s columns other than the key arrive
+    under their names (null where nothing is found).
+    """
+    from pyspark.sql import functions as F
+
+    values = [c for c in table.columns if c not in (key, count)]
+    limit = max(1, total // HOT_SHARE)
+    pack = F.struct(*[F.col(c) for c in values])
+    hot = table.filter(F.col(count) > limit).select(F.col(key).alias("__hk"), pack.alias("__hv"))
+    cold = table.filter(F.col(count) <= limit).select(F.col(key).cast("string").alias("__ck"), pack.alias("__cv"))
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("__hk"), "left")
+    dealt = F.when(F.col("__hk").isNotNull() | F.col(key).isNull(), F.concat(F.lit("\x00"), F.xxhash64(spread).cast("string")))
+    out = out.withColumn("__jk", F.coalesce(dealt, F.col(key).cast("string"))).join(cold, F.col("__jk") == F.col("__ck"), "left")
+    found = F.coalesce("__hv", "__cv")
+    return out.select(*rows.columns, *[found[c].alias(c) for c in values])
