@@ -32,24 +32,29 @@ class PerfectHash:
     """Minimal perfect hash of byte strings by hash-and-displace.
 
     Keys go to buckets by one part of a 128-bit digest; buckets, largest first,
-    look for the displacement that puts all their keys on free slots.  There are
-    as many slots as keys.  A probe reads one displacement and one slot, and
+    look for the displacement that puts all their keys on free slots; buckets of
+    one key name their slot outright.  There are as many slots as keys.  A probe reads one displacement and one slot, and
     compares the key kept there, so strings outside the set are told apart.
     """
 
     def __init__(self, keys: list[bytes]):
         self.n = len(keys)
-        self.buckets = max(1, self.n // 4)
+        self.buckets = max(1, self.n // 2)
         parts = [self._parts(k) for k in keys]
         groups: dict[int, list[int]] = {}
-        for i, (b, _, _) in enumerate(parts):
+        for i, (b, _) in enumerate(parts):
             groups.setdefault(b, []).append(i)
         self.shift = [0] * self.buckets
         self.slots: list[int] = [-1] * self.n
+        free = self.n
         for b, members in sorted(groups.items(), key=lambda g: -len(g[1])):
+            if len(members) == 1:  # these go straight to the slots left over
+                free = next(p for p in range(free - 1, -1, -1) if self.slots[p] < 0)
+                self.shift[b], self.slots[free] = ~free, members[0]
+                continue
             d = 0
             while True:
-                places = [(parts[i][1] + d * parts[i][2]) % self.n for i in members]
+                places = [self._place(parts[i][1], d) for i in members]
                 if len(set(places)) == len(places) and all(self.slots[p] < 0 for p in places):
                     break
                 d += 1
@@ -58,14 +63,19 @@ class PerfectHash:
                 self.slots[p] = i
         self.keys = [keys[i] for i in self.slots]
 
-    def _parts(self, key: bytes) -> tuple[int, int, int]:
+    def _parts(self, key: bytes) -> tuple[int, int]:
         x = int.from_bytes(hashlib.blake2b(key, digest_size=16).digest(), "little")
-        return (x & 0xFFFFFFFF) % self.buckets, ((x >> 32) & 0xFFFFFFFFFF) % self.n, 1 + (x >> 72) % max(1, self.n - 1)
+        return (x & _M64) % self.buckets, x >> 64
+
+    def _place(self, f: int, d: int) -> int:
+        """Another place for every displacement, by a multiplicative mix."""
+        return (((f + d * 0x9E3779B97F4A7C15 & _M64) * 0xD1342543DE82EF95 & _M64) >> 24) % self.n
 
     def slot(self, key: bytes) -> int:
         """The key's place among the keys in slot order, or -1."""
-        b, f, g = self._parts(key)
-        p = (f + self.shift[b] * g) % self.n
+        b, f = self._parts(key)
+        d = self.shift[b]
+        p = ~d if d < 0 else self._place(f, d)
         return p if self.keys[p] == key else -1
 
 

@@ -156,7 +156,7 @@ def write_archives(planned: DataFrame, folder: str) -> DataFrame:
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         part, final = f"{base}/.{name}.part", f"{base}/{name}"
-        with store.open_output_stream(part) as out:
+        with store.open_output_stream(part, compression=None) as out:
             writer = ArchiveWriter(out)
             for batch in batches:
                 for at in range(batch.num_rows):
@@ -180,7 +180,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for uri in batch.column("archive").to_pylist():
                 store, path = fs.FileSystem.from_uri(uri)
-                with store.open_input_stream(path) as source:
+                with store.open_input_stream(path, compression=None) as source:
                     rows = []
                     for raw in read_archive(source):
                         rows.append(parse_record(raw))
