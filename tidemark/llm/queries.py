@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, warc, winnow
+from . import bpe, chat, decontaminate, neardup, repeats, severity, warc, winnow
 from .workspace import Workspace
 
 
@@ -58,6 +58,18 @@ SELECT pair_id, segment, conv_id, turn, role, rendered,
 """
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, by a model fitted on at most severity.TRAIN_ROWS labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = severity.fit_on_labels(docs, severity.label_grades(table(spark, sf_dir, "labels")))
+    out = severity.grade_documents(docs, model)
+    return out.select("doc_id", F.round("severity", 6).alias("severity"), F.round("toxic_p", 6).alias("toxic_p"), (F.col("toxic_p") >= 0.5).alias("toxic"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -94,9 +106,46 @@ SELECT page_id, payload_bytes, payload_digest,
 """
 
 
+def op2_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = repeats.drop_repeats(spark, docs, 20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 18, 1))) AS p, w FROM d WHERE len(w) >= 20),
+k AS (SELECT doc_id, p, sha256(array_to_string(list_slice(w, p, p + 19), ' ')) AS h FROM win),
+later AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS r FROM k) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM later),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT word.doc_id, count(*) AS n_words, count(gone.i) AS n_removed, string_agg(x, ' ' ORDER BY word.i) FILTER (WHERE gone.i IS NULL) AS t
+      FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.i = gone.i GROUP BY word.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)
+"""
+
+
+def op4_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=85)
+
+
+OP4_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 2), ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+r AS (SELECT doc_id AS node, doc_id AS c FROM d UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node),
+m AS (SELECT node, min(c) AS component_id FROM r GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.node = doc_id
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_codec, op3_preference_format, op7_winnowing, op9_token_counts, op10_warc_zstd)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_repeated_runs, op3_preference_format, op4_minhash_components, op5_decontaminate, op7_winnowing, op8_severity, op9_token_counts, op10_warc_zstd)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_preference_format": OP3_SQL, "op10_warc_zstd": OP10_SQL}
+    return {"op2_repeated_runs": OP2_SQL, "op4_minhash_components": OP4_SQL, "op3_preference_format": OP3_SQL, "op10_warc_zstd": OP10_SQL}

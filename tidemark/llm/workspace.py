@@ -63,10 +63,10 @@ class Workspace:
 HOT_SHARE = 2000
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, spread: str) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, spread: str, share: int = HOT_SHARE) -> DataFrame:
     """Left join of ``rows`` with ``table`` (one row per ``key``, with its number of rows ``count``).
 
-    Keys with more than ``total / HOT_SHARE`` rows are under HOT_SHARE in number and
+    Keys with more than ``total / share`` rows are under ``share`` in number and
     are broadcast; their rows are dealt by ``spread`` through the shuffle that joins
     all other keys, so that no task gets a whole hot group.  Null keys find nothing
     and are dealt by ``spread`` too.  ``table``'s columns other than the key arrive
@@ -75,7 +75,7 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, total: int,
     from pyspark.sql import functions as F
 
     values = [c for c in table.columns if c not in (key, count)]
-    limit = max(1, total // HOT_SHARE)
+    limit = max(1, total // share)
     pack = F.struct(*[F.col(c) for c in values])
     hot = table.filter(F.col(count) > limit).select(F.col(key).alias("__hk"), pack.alias("__hv"))
     cold = table.filter(F.col(count) <= limit).select(F.col(key).cast("string").alias("__ck"), pack.alias("__cv"))
