@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, neardup, repeats, severity, warc, winnow
+from . import bpe, chat, decontaminate, idfiles, neardup, repeats, severity, warc, winnow
 from .workspace import Workspace
 
 
@@ -70,6 +70,10 @@ def op8_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.round("severity", 6).alias("severity"), F.round("toxic_p", 6).alias("toxic_p"), (F.col("toxic_p") >= 0.5).alias("toxic"))
 
 
+def op6_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.file_round_trip(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), Workspace(spark, "idfiles"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -144,7 +148,7 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_repeated_runs, op3_preference_format, op4_minhash_components, op5_decontaminate, op7_winnowing, op8_severity, op9_token_counts, op10_warc_zstd)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_repeated_runs, op3_preference_format, op4_minhash_components, op5_decontaminate, op6_range_coder, op7_winnowing, op8_severity, op9_token_counts, op10_warc_zstd)}
 
 
 def oracle_sql() -> dict[str, str]:
