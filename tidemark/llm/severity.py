@@ -43,7 +43,11 @@ class OrdinalModel:
 
 
 def fit(ids: np.ndarray, at: np.ndarray, grades: np.ndarray, levels: int, rounds: int = 300, l1: float = 2e-3, rate: float = 0.5) -> OrdinalModel:
-    """Accelerated proximal gradient on the mean negative log-likelihood with an L1 penalty."""
+    """Accelerated proximal gradient on the mean negative log-likelihood with an L1 penalty.
+
+    Weights are not negative: a word can only add severity, so no text is graded
+    below one without words.
+    """
     n, width = len(grades), 1 << BITS
     if n == 0:
         return OrdinalModel(np.zeros(width, np.float32), np.arange(1.0, levels))
@@ -70,7 +74,7 @@ def fit(ids: np.ndarray, at: np.ndarray, grades: np.ndarray, levels: int, rounds
         g_score = -(hi - lo) / p / n
         grad = np.bincount(where, weights=value * g_score[row], minlength=len(seen))
         g_cut = np.array([((grades == k + 1) * slope[:, k + 1] / p - (grades == k) * slope[:, k + 1] / p).sum() / n for k in range(levels - 1)])
-        old, w = w, np.sign(look - step * grad) * np.maximum(np.abs(look - step * grad) - step * l1, 0)
+        old, w = w, np.maximum(look - step * grad - step * l1, 0)
         cut = np.maximum.accumulate(cut - step * g_cut + 1e-6 * np.arange(levels - 1))
         loss = -np.log(p).mean() + l1 * np.abs(look).sum()
         if loss > last * 1.02:
