@@ -2,9 +2,9 @@
 
 A link is a pair of texts whose sets of word shingles have a Jaccard similarity
 of at least a threshold.  Equal sets are one class with one representative, so
-copies are never compared.  All candidates of a band are reached in two rounds:
-every member against the band's smallest representative, then all pairs of
-members that are not yet in one component (a pair inside one adds nothing).
+copies are never compared.  All candidates of a band are reached in rounds: every
+member against the band's smallest representative, then against other hubs, then
+all pairs of members that are not yet in one component (a pair inside one adds nothing).
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ BATCH = 32
 MISS = 1e-9
 #: Hub texts with more than 1 in HUBS of all pairs are broadcast: fewer than HUBS.
 HUBS = 200
+#: Rounds of one further hub for each band before all open pairs are compared.
+HUB_TURNS = 2
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,14 +174,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     members = space.table(lookup(members, bands, "band", "k", total * BANDS, "rep").filter("hub is not null"), "members")
     stars = members.filter("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = _verify(space, stars, sigs, percent, "star")
-    first = space.table(components(space, links), "first")
-    labelled = members.join(first, members.rep == first.node, "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    mixed = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("k")).filter("low <> high")
-    open_rows = space.table(lookup(labelled, mixed, "band", "k", total * BANDS, "rep").filter("low is not null"), "open")
+    done = stars
+    for turn in range(HUB_TURNS + 1):
+        # members of bands that hold several components; a pair inside a component adds nothing
+        first = space.table(components(space, links), "labels")
+        labelled = members.join(first, members.rep == first.node, "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        order = F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "c")
+        mixed = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(order).alias("pick"), F.count(F.lit(1)).alias("k")).filter("low <> high")
+        open_rows = space.table(lookup(labelled, mixed, "band", "k", total * BANDS, "rep").filter("low is not null"), "open")
+        if turn == HUB_TURNS:
+            break
+        # one other hub for each band and turn: as many pairs as members at most
+        more = open_rows.filter("c <> pick.c").select(F.least("rep", "pick.rep").alias("a"), F.greatest("rep", "pick.rep").alias("b")).distinct()
+        more = space.table(more.join(done, ["a", "b"], "left_anti"), "hub-pairs")
+        done = done.union(more)
+        links = links.union(_verify(space, more, sigs, percent, f"hub-{turn}"))
     x, y = open_rows.alias("x"), open_rows.alias("y")
     near = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c"))
     rest = x.join(y, (F.col("x.band") == F.col("y.band")) & near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = _verify(space, rest.join(stars, ["a", "b"], "left_anti"), sigs, percent, "rest")
+    more = _verify(space, rest.join(done, ["a", "b"], "left_anti"), sigs, percent, "rest")
     found = components(space, links.union(more))
     named = reps.join(found, reps.rep == found.node, "left").select("class", F.coalesce("component", "rep").alias("component_id"), "n")
     out = lookup(rows, named, "class", "n", total, "doc_id").withColumn("component_id", F.coalesce("component_id", "doc_id"))
