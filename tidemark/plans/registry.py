@@ -45,14 +45,15 @@ RATIO_LONG = "rl AS (" + _union([f"SELECT issuer, fy, fq, k, '{r.name}' AS ratio
 SCORES = "sc AS (" + _union([f"SELECT issuer, fy, fq, k, '{n}' AS factor, {w}e0 AS weight, {interpolate_sql('(' + value_sql(BY_NAME[n]) + ')', anchors)} AS score FROM periods" for n, w, anchors in FACTORS]) + ")"
 COMPOSITE = "co AS (SELECT issuer, fy, fq, k, sum(CASE WHEN score IS NOT NULL THEN weight * score END) / nullif(sum(CASE WHEN score IS NOT NULL THEN weight END), 0) AS composite, sum(CASE WHEN score IS NOT NULL THEN weight END) / sum(weight) AS coverage FROM sc GROUP BY issuer, fy, fq, k)"
 WINDOW4 = "OVER (PARTITION BY issuer ORDER BY k ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
-TTM = "ttm AS (SELECT issuer, fy, fq, k, " + ", ".join(f"CASE WHEN count({c}) {WINDOW4} = 4 THEN CAST(sum(CAST({c} AS DECIMAL(18, 6))) {WINDOW4} AS DOUBLE) END AS {c}" for c in FLOWS) + ", " + ", ".join(STOCKS) + " FROM periods)"
+TTM = "ttm AS (SELECT issuer, fy, fq, k, " + ", ".join(f"CASE WHEN count({c}) {WINDOW4} = 4 THEN sum(CAST({c} AS DECIMAL(20, 7))) {WINDOW4} END AS {c}" for c in FLOWS) + ", " + ", ".join(STOCKS) + " FROM periods)"
 MARGIN = "mg AS (SELECT issuer, fy, fq, k, operating_income / nullif(revenue, 0) * 100 AS y, row_number() OVER (PARTITION BY issuer ORDER BY k) - 1 AS x FROM periods)"
 TOKENS = r"tok AS (SELECT doc_id, lang, source, w FROM (SELECT doc_id, lang, source, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''.-]*')) AS w FROM documents) WHERE length(w) > 1)"
 EVENTS = "ev AS (SELECT event_id, user_id, event_type, value, ts, CAST(ts AS DATE) AS day FROM events)"
 
 
 def _rounded(cols: list[str]) -> str:
-    return ", ".join(f"round({c}, 4) AS {c}" for c in cols)
+    """Rounded as decimals, exactly half up in both engines; no measure has more than 7 decimal places."""
+    return ", ".join(f"CAST(round(CAST({c} AS DECIMAL(20, 7)), 4) AS DOUBLE) AS {c}" for c in cols)
 
 
 SQL: dict[str, str] = {
