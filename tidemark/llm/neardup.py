@@ -2,9 +2,10 @@
 
 A link is a pair of texts whose sets of word shingles have a Jaccard similarity
 of at least a threshold.  Equal sets are one class with one representative, so
-copies are never compared.  All candidates of a band are reached in rounds: every
-member against the band's smallest representative, then against other hubs, then
-all pairs of members that are not yet in one component (a pair inside one adds nothing).
+copies are never compared.  A band's members are compared with its smallest
+representative first.  Members of bands that still hold several components then
+meet where a link demands it: linked sets share one of their rarest shingles, at
+places in the order of rarity that their sizes fix (pairs inside a component add nothing).
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ BATCH = 32
 MISS = 1e-9
 #: Hub texts with more than 1 in HUBS of all pairs are broadcast: fewer than HUBS.
 HUBS = 200
-#: Rounds of one further hub for each band before all open pairs are compared.
-HUB_TURNS = 2
+#: Further hubs are compared first while more pairs than so many for each open member share a rare shingle.
+PAIRS_PER_MEMBER = 8
+#: A turn of further hubs that links fewer than 1 in so many of its pairs is the last.
+LEAST_YIELD = 50
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,6 +160,39 @@ def components(space: Workspace, edges: DataFrame) -> DataFrame:
         state = now
 
 
+def _rare_places(members: DataFrame, sigs: DataFrame, percent: int, total: int) -> DataFrame:
+    """(t, pos, rep, n, c): shingles of ``members`` (rep, n, c) that may be the rarest one shared with a link.
+
+    Shingles stand in ascending order of their frequency among the members.  Two sets
+    with at least ``percent`` in common share one among their first n - n * percent / 100 + 1.
+    Shingles of one member alone come first and meet nothing.
+    """
+    shingles = sigs.join(members.select("rep", "c"), "rep").select("rep", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
+    often = shingles.groupBy("t").agg(F.count(F.lit(1)).alias("f")).filter("f > 1").withColumn("often", F.col("f"))
+    shared = lookup(shingles, often, "t", "f", total, "rep").filter("often is not null")
+    ranked = shared.groupBy("rep", "c", "n").agg(F.array_sort(F.collect_list(F.struct("often", "t"))).alias("ts"))
+    first = F.floor((F.col("n") * (100 - percent)) / 100).cast("int") + 1
+    ranked = ranked.withColumn("alone", F.col("n") - F.size("ts")).withColumn("ts", F.slice("ts", F.lit(1), F.greatest(first - F.col("alone"), F.lit(0))))
+    places = ranked.select("rep", "c", "n", "alone", F.posexplode("ts").alias("i", "x"))
+    return places.select(F.col("x.t").alias("t"), (F.col("alone") + F.col("i")).alias("pos"), "rep", "n", "c")
+
+
+def _leading(percent: int):
+    """Places that may be the rarest shared shingle with a set that is not smaller."""
+    return (100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n")
+
+
+def _rare_pairs(places: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a shingle from whose place on enough shingles follow in both sets; the smaller set is y."""
+    x, y = places.alias("x"), places.filter(_leading(percent)).alias("y")
+    need = percent * (F.col("x.n") + F.col("y.n"))
+    enough = ((100 + percent) * (F.col("x.n") - F.col("x.pos")) >= need) & ((100 + percent) * (F.col("y.n") - F.col("y.pos")) >= need)
+    turn = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.rep") < F.col("x.rep")))
+    near = enough & turn & (100 * F.col("y.n") >= percent * F.col("x.n")) & (F.col("x.c") != F.col("y.c"))
+    found = x.join(y, (F.col("x.t") == F.col("y.t")) & near)
+    return found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -174,25 +210,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     members = space.table(lookup(members, bands, "band", "k", total * BANDS, "rep").filter("hub is not null"), "members")
     stars = members.filter("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = _verify(space, stars, sigs, percent, "star")
-    done = stars
-    for turn in range(HUB_TURNS + 1):
+    done, turn = stars, 0
+    while True:
         # members of bands that hold several components; a pair inside a component adds nothing
         first = space.table(components(space, links), "labels")
         labelled = members.join(first, members.rep == first.node, "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("c"))
         order = F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "c")
         mixed = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(order).alias("pick"), F.count(F.lit(1)).alias("k")).filter("low <> high")
         open_rows = space.table(lookup(labelled, mixed, "band", "k", total * BANDS, "rep").filter("low is not null"), "open")
-        if turn == HUB_TURNS:
+        alone = open_rows.select("rep", "n", "c").distinct()
+        size_of = alone.agg(F.count(F.lit(1)), F.sum("n")).first()
+        places = space.table(_rare_places(alone, sigs, percent, size_of[1] or 0), "places")
+        met = places.groupBy("t").agg((F.count(F.lit(1)) * F.count_if(_leading(percent))).alias("k")).agg(F.sum("k")).first()[0] or 0
+        if met <= PAIRS_PER_MEMBER * size_of[0]:
             break
         # one other hub for each band and turn: as many pairs as members at most
         more = open_rows.filter("c <> pick.c").select(F.least("rep", "pick.rep").alias("a"), F.greatest("rep", "pick.rep").alias("b")).distinct()
         more = space.table(more.join(done, ["a", "b"], "left_anti"), "hub-pairs")
-        done = done.union(more)
-        links = links.union(_verify(space, more, sigs, percent, f"hub-{turn}"))
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    near = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c"))
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = _verify(space, rest.join(done, ["a", "b"], "left_anti"), sigs, percent, "rest")
+        done, turn = done.union(more), turn + 1
+        new = _verify(space, more, sigs, percent, f"hub-{turn}")
+        links = links.union(new)
+        if LEAST_YIELD * new.count() < more.count():
+            break
+    more = _verify(space, _rare_pairs(places, percent).join(done, ["a", "b"], "left_anti"), sigs, percent, "rest")
     found = components(space, links.union(more))
     named = reps.join(found, reps.rep == found.node, "left").select("class", F.coalesce("component", "rep").alias("component_id"), "n")
     out = lookup(rows, named, "class", "n", total, "doc_id").withColumn("component_id", F.coalesce("component_id", "doc_id"))
