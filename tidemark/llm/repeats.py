@@ -1,9 +1,14 @@
-"""Removal of word runs that occur earlier in the corpus.
+"""Removal of word runs that occur earlier in the corpus, by prefix-partitioned suffix trees.
 
-Every run of ``length`` words is a suffix of its document, cut to that depth.
-Suffixes are split by the fingerprint of their first half (their prefix) and
-told apart by that of the second half: 128 bits together.  Suffixes that meet at
-full depth are one deep node; its first leaf stays, its other leaves repeat it.
+Each run of ``length`` words has an anchor: the first of its prefixes of half that
+many words whose fingerprint is least.  Equal runs have their anchors at equal
+places, so runs meet in the group of their anchor's prefix, and prefixes that
+occur once are left out before anything is dealt.  A group has two trees, over
+the words after the prefix and over those before it (backwards): sorted
+sequences with the lengths of their common beginnings, whose intervals are the
+internal nodes.  Suffixes that share the nodes at a run's depth on both sides
+repeat each other.  Groups beyond memory get longer prefixes, up to the whole
+run: then the first of equal runs is found by aggregation.
 """
 
 from __future__ import annotations
@@ -13,28 +18,170 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import Words, slices
+from .words import Words, mix, slices
 from .workspace import Workspace, lookup
 
+#: Largest group, in suffixes, of which trees are built in memory.
+GROUP_ROWS = 4096
+#: Suffixes of whole groups that one tree holds at a time (several groups share it).
+TREE_ROWS = 1 << 15
 
-def windows(docs: DataFrame, length: int) -> DataFrame:
-    """(prefix, rest, doc_id, pos) of every run of ``length`` words; pos is its first word."""
+
+def _anchors(words: Words, length: int, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchor, its prefix's fingerprint, and the least and most words between a run's start and it."""
     half = length // 2
+    starts = words.window_starts(length)
+    if not len(starts):
+        return (starts, np.zeros(0, np.int64), starts, starts)
+    prefix = words.sequence_hashes(half, hashes)
+    order = mix(prefix)
+    best, at = order[starts].copy(), starts.copy()
+    for o in range(1, length - half + 1):
+        less = order[starts + o] < best
+        best[less], at[less] = order[starts + o][less], starts[less] + o
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    last = np.concatenate([first[1:], [len(at)]]) - 1
+    anchor = at[first]
+    return anchor, prefix[anchor].view(np.int64), anchor - starts[last], anchor - starts[first]
+
+
+def anchors(docs: DataFrame, length: int) -> DataFrame:
+    """(prefix, doc_id, pos, lo, hi) of every anchor; its runs start lo to hi words before pos."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 words = Words(part.column("text"))
-                starts = words.window_starts(length)
-                if not len(starts):
-                    continue
-                hashes = words.hashes()
-                head, tail = words.sequence_hashes(half, hashes), words.sequence_hashes(length - half, hashes)
-                row = np.searchsorted(words.first, starts, side="right") - 1
+                anchor, prefix, lo, hi = _anchors(words, length, words.hashes())
+                row = np.searchsorted(words.first, anchor, side="right") - 1
                 ids = part.column("doc_id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(head[starts].view(np.int64)), pa.array(tail[starts + half].view(np.int64)), pa.array(ids[row]), pa.array((starts - words.first[row]).astype(np.int32))], names=["prefix", "rest", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(ids[row]), pa.array((anchor - words.first[row]).astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["prefix", "doc_id", "pos", "lo", "hi"])
+
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "prefix long, doc_id long, pos int, lo int, hi int")
+
+
+def _suffixes(marked: DataFrame, length: int, whole: bool) -> DataFrame:
+    """Suffixes at the anchors ``at`` of the texts: with the words around the prefix, or with the prints of whole runs."""
+    half = length // 2
+    reach = length - half
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                words = Words(part.column("text"))
+                hashes = words.hashes()
+                spots = part.column("at")
+                row = np.repeat(np.arange(len(part)), np.diff(spots.offsets.to_numpy()))
+                pos, lo, hi = (spots.flatten().field(i).to_numpy() for i in range(3))
+                at = words.first[row] + pos
+                prefix = words.sequence_hashes(half, hashes)[at].view(np.int64)
+                ids = part.column("doc_id").to_numpy()[row]
+                if whole:
+                    n = hi - lo + 1
+                    own = np.repeat(np.arange(len(at)), n)
+                    start = at[own] - (lo[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n))
+                    prints = words.sequence_hashes(length, hashes)[start].view(np.int64)
+                    cols = [pa.array(prefix[own]), pa.array(ids[own]), pa.array((start - words.first[row][own]).astype(np.int32)), pa.array(prints)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["prefix", "doc_id", "pos", "run"])
+                    continue
+                step, last = np.arange(reach), len(hashes) - 1
+                before = hashes[np.maximum(at[:, None] - 1 - step, 0)] * (step < hi[:, None])
+                after = hashes[np.minimum(at[:, None] + half + step, last)] * (step < (reach - lo)[:, None])
+                cols = [pa.array(prefix), pa.array(ids), pa.array(pos), pa.array(lo), pa.array(hi)]
+                for side in (before, after):
+                    raw = np.ascontiguousarray(side)
+                    offsets = np.arange(len(at) + 1, dtype=np.int32) * (8 * reach)
+                    cols.append(pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]))
+                yield pa.RecordBatch.from_arrays(cols, names=["prefix", "doc_id", "pos", "lo", "hi", "before", "after"])
+
+    return marked.mapInArrow(run, "prefix long, doc_id long, pos int, run long" if whole else "prefix long, doc_id long, pos int, lo int, hi int, before binary, after binary")
+
+
+def _nodes(prefix: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Of each sequence its node at each depth, 0 to all words: the interval of equal beginnings in sorted order."""
+    order = np.lexsort([*side.T[::-1], prefix])
+    p, s = prefix[order], side[order]
+    differs = np.zeros((len(p), side.shape[1] + 1), bool)
+    differs[0] = True
+    differs[1:, 0] = p[1:] != p[:-1]
+    differs[1:, 1:] = s[1:] != s[:-1]
+    nodes = np.empty(differs.shape, np.int64)
+    nodes[order] = np.cumsum(np.logical_or.accumulate(differs, axis=1), axis=0)
+    return nodes
+
+
+def _tree_repeats(prefix, doc, pos, lo, hi, before, after) -> tuple[np.ndarray, np.ndarray]:
+    """(document, start) of the runs that repeat an earlier one of the same groups."""
+    reach = before.shape[1]
+    left, right = _nodes(prefix, before), _nodes(prefix, after)
+    docs, starts = [], []
+    for back in range(reach + 1):
+        rows = np.flatnonzero((lo <= back) & (back <= hi))
+        if len(rows) < 2:
+            continue
+        a, b, d, p = left[rows, back], right[rows, reach - back], doc[rows], pos[rows] - back
+        order = np.lexsort((p, d, b, a))
+        a, b = a[order], b[order]
+        later = order[1:][(a[1:] == a[:-1]) & (b[1:] == b[:-1])]
+        docs.append(d[later])
+        starts.append(p[later])
+    return np.concatenate([np.zeros(0, np.int64), *docs]), np.concatenate([np.zeros(0, np.int32), *starts])
+
+
+def _grown(suffixes: DataFrame, length: int) -> DataFrame:
+    """(doc_id, pos) of repeats, from partitions that hold whole groups in order of prefix."""
+    reach = length - length // 2
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        plain = [table.column(c).to_numpy() for c in ("prefix", "doc_id", "pos", "lo", "hi")]
+        sides = [np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64).reshape(-1, reach) for c in ("before", "after")]
+        d, p = _tree_repeats(*plain, *sides)
+        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(p.astype(np.int32))], names=["doc_id", "pos"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n < TREE_ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            prefix = table.column("prefix").to_numpy()
+            cut = int(np.searchsorted(prefix, prefix[-1]))  # the last group may go on
+            if cut:
+                yield solve(table.slice(0, cut))
+                held, n = table.slice(cut).to_batches(), n - cut
+        if n:
+            yield solve(pa.Table.from_batches(held))
+
+    return suffixes.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "doc_id long, pos int")
+
+
+def repeated_runs(space: Workspace, docs: DataFrame, length: int) -> DataFrame:
+    """(doc_id, pos) of each run of ``length`` words that starts earlier too, in a smaller doc_id or the same."""
+    found = space.table(anchors(docs, length), "anchors")
+    total = found.count()
+    counts = space.table(found.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("large", F.col("n") > GROUP_ROWS), "prefixes")
+    kept = lookup(found, counts, "prefix", "n", total, "pos").filter("large is not null")
+    marks = kept.groupBy("doc_id", "large").agg(F.collect_list(F.struct("pos", "lo", "hi")).alias("at")).withColumnRenamed("doc_id", "__id")
+    marks = space.table(marks, "marks")
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+
+    def at(large: bool) -> DataFrame:
+        return texts.join(marks.filter(F.col("large") == large), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "at")
 
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "prefix long, rest long, doc_id long, pos int")
+    out = _grown(_suffixes(at(False), length, False), length)
+    if not marks.filter("large").isEmpty():
+        runs = _suffixes(at(True), length, True).select(F.concat_ws(":", "prefix", "run").alias("run"), "doc_id", "pos")
+        firsts = runs.groupBy("run").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        firsts = space.table(firsts, "whole-runs")
+        n = int(firsts.agg(F.sum("n")).first()[0] or 0)
+        later = lookup(runs, firsts, "run", "n", n, "pos").filter("first is not null and (doc_id <> first.doc_id or pos <> first.pos)")
+        out = out.unionByName(later.select("doc_id", "pos"))
+    return out
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, length: int = 20, join_with: str = " ") -> DataFrame:
@@ -48,13 +195,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, length: int = 20, join_wi
     """
     space = Workspace(spark, "repeats")
     keep = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    suffixes = windows(docs, length)
-    nodes = suffixes.groupBy("prefix", "rest").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    nodes = space.table(nodes.select(F.concat_ws(":", "prefix", "rest").alias("node"), "first", "n"), "nodes")
-    leaves = suffixes.select(F.concat_ws(":", "prefix", "rest").alias("node"), "doc_id", "pos")
-    total = int(nodes.agg(F.sum("n")).first()[0] or 0)
-    later = lookup(leaves, nodes, "node", "n", total, "pos").filter("first is not null and (doc_id <> first.doc_id or pos <> first.pos)")
-    gone = later.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
+    gone = repeated_runs(space, docs, length).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
     gone = space.table(gone, "gone")
     rows = docs.select(*keep).join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
     schema = docs.select(*keep).withColumn("n_words", F.lit(0).cast("long")).withColumn("n_removed", F.lit(0).cast("long")).schema
