@@ -7,8 +7,9 @@ occur once are left out before anything is dealt.  A group has two trees, over
 the words after the prefix and over those before it (backwards): sorted
 sequences with the lengths of their common beginnings, whose intervals are the
 internal nodes.  Suffixes that share the nodes at a run's depth on both sides
-repeat each other.  Groups beyond memory get longer prefixes, up to the whole
-run: then the first of equal runs is found by aggregation.
+repeat each other.  Groups beyond memory get longer prefixes, up to all words of an
+anchor's runs: suffixes with equal ones are one class, only whose first is compared
+run by run, by aggregation.
 """
 
 from __future__ import annotations
@@ -79,10 +80,13 @@ def _suffixes(marked: DataFrame, length: int, whole: bool) -> DataFrame:
                 if whole:
                     n = hi - lo + 1
                     own = np.repeat(np.arange(len(at)), n)
-                    start = at[own] - (lo[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n))
-                    prints = words.sequence_hashes(length, hashes)[start].view(np.int64)
-                    cols = [pa.array(prefix[own]), pa.array(ids[own]), pa.array((start - words.first[row][own]).astype(np.int32)), pa.array(prints)]
-                    yield pa.RecordBatch.from_arrays(cols, names=["prefix", "doc_id", "pos", "run"])
+                    back = lo[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+                    prints = words.sequence_hashes(length, hashes)[at[own] - back]
+                    edges = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    # runs that overlap fix all words from the first run's start to the last one's end
+                    whole_print = np.add.reduceat(mix(prints + back.astype(np.uint64)), edges[:-1]) if len(at) else prints
+                    cols = [pa.array(prefix), pa.array(ids), pa.array(pos), pa.array(lo), pa.array(hi), pa.array(whole_print.view(np.int64)), pa.ListArray.from_arrays(pa.array(edges), pa.array(prints.view(np.int64)))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["prefix", "doc_id", "pos", "lo", "hi", "whole", "runs"])
                     continue
                 step, last = np.arange(reach), len(hashes) - 1
                 before = hashes[np.maximum(at[:, None] - 1 - step, 0)] * (step < hi[:, None])
@@ -94,7 +98,7 @@ def _suffixes(marked: DataFrame, length: int, whole: bool) -> DataFrame:
                     cols.append(pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]))
                 yield pa.RecordBatch.from_arrays(cols, names=["prefix", "doc_id", "pos", "lo", "hi", "before", "after"])
 
-    return marked.mapInArrow(run, "prefix long, doc_id long, pos int, run long" if whole else "prefix long, doc_id long, pos int, lo int, hi int, before binary, after binary")
+    return marked.mapInArrow(run, "prefix long, doc_id long, pos int, lo int, hi int, whole long, runs array<long>" if whole else "prefix long, doc_id long, pos int, lo int, hi int, before binary, after binary")
 
 
 def _nodes(prefix: np.ndarray, side: np.ndarray) -> np.ndarray:
@@ -129,7 +133,7 @@ def _tree_repeats(prefix, doc, pos, lo, hi, before, after) -> tuple[np.ndarray,
 
 
 def _grown(suffixes: DataFrame, length: int) -> DataFrame:
-    """(doc_id, pos) of repeats, from partitions that hold whole groups in order of prefix."""
+    """(doc_id, starts) of repeats, from partitions that hold whole groups in order of prefix."""
     reach = length - length // 2
 
     def solve(table: pa.Table) -> pa.RecordBatch:
@@ -137,7 +141,10 @@ def _grown(suffixes: DataFrame, length: int) -> DataFrame:
         plain = [table.column(c).to_numpy() for c in ("prefix", "doc_id", "pos", "lo", "hi")]
         sides = [np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64).reshape(-1, reach) for c in ("before", "after")]
         d, p = _tree_repeats(*plain, *sides)
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(p.astype(np.int32))], names=["doc_id", "pos"])
+        order = np.argsort(d, kind="stable")
+        d, first = np.unique(d[order], return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(p[order].astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), lists], names=["doc_id", "starts"])
 
     def run(batches):
         held, n = [], 0
@@ -157,11 +164,30 @@ def _grown(suffixes: DataFrame, length: int) -> DataFrame:
         if n:
             yield solve(pa.Table.from_batches(held))
 
-    return suffixes.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "doc_id long, pos int")
+    return suffixes.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "doc_id long, starts array<int>")
+
+
+def _large(space: Workspace, suffixes: DataFrame) -> DataFrame:
+    """(doc_id, starts) of repeats in groups beyond memory; ``suffixes`` is a table."""
+    key = F.concat_ws(":", "prefix", "whole", "lo", "hi").alias("class")
+    rows = suffixes.select(key, "doc_id", "pos", "lo", "hi")
+    classes = suffixes.groupBy(key).agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.min(F.struct("prefix", "lo", "runs")).alias("k"), F.count(F.lit(1)).alias("n"))
+    classes = space.table(classes, "classes")
+    firsts = classes.select("class", "first", F.col("k.prefix").alias("prefix"), F.col("k.lo").alias("lo"), F.posexplode("k.runs").alias("i", "run"))
+    firsts = firsts.select("class", F.concat_ws(":", "prefix", "run").alias("run"), "first.doc_id", (F.col("first.pos") - F.col("lo") - F.col("i")).alias("start"), (F.col("lo") + F.col("i")).alias("back"))
+    firsts = space.table(firsts, "first-runs")
+    least = firsts.groupBy("run").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    late = lookup(firsts, least, "run", "n", firsts.count(), "class").filter("least is not null and (doc_id <> least.doc_id or start <> least.start)")
+    late = late.groupBy("class").agg(F.collect_set("back").alias("late"))
+    classes = classes.select("class", "first", "n").join(late, "class", "left").filter("n > 1 or late is not null")
+    found = lookup(rows, classes, "class", "n", rows.count(), "pos").filter("first is not null")
+    is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))
+    backs = F.when(is_first, F.coalesce("late", F.expr("cast(array() as array<int>)"))).otherwise(F.sequence("lo", "hi"))
+    return found.select("doc_id", F.transform(backs, lambda b: F.col("pos") - b).alias("starts"))
 
 
 def repeated_runs(space: Workspace, docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, pos) of each run of ``length`` words that starts earlier too, in a smaller doc_id or the same."""
+    """(doc_id, starts), several rows a document: runs of ``length`` words that start earlier too, in a smaller doc_id or the same."""
     found = space.table(anchors(docs, length), "anchors")
     total = found.count()
     counts = space.table(found.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("large", F.col("n") > GROUP_ROWS), "prefixes")
@@ -175,12 +201,7 @@ def repeated_runs(space: Workspace, docs: DataFrame, length: int) -> DataFrame:
 
     out = _grown(_suffixes(at(False), length, False), length)
     if not marks.filter("large").isEmpty():
-        runs = _suffixes(at(True), length, True).select(F.concat_ws(":", "prefix", "run").alias("run"), "doc_id", "pos")
-        firsts = runs.groupBy("run").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        firsts = space.table(firsts, "whole-runs")
-        n = int(firsts.agg(F.sum("n")).first()[0] or 0)
-        later = lookup(runs, firsts, "run", "n", n, "pos").filter("first is not null and (doc_id <> first.doc_id or pos <> first.pos)")
-        out = out.unionByName(later.select("doc_id", "pos"))
+        out = out.unionByName(_large(space, space.table(_suffixes(at(True), length, True), "large")))
     return out
 
 
@@ -195,7 +216,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, length: int = 20, join_wi
     """
     space = Workspace(spark, "repeats")
     keep = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    gone = repeated_runs(space, docs, length).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
+    gone = repeated_runs(space, docs, length).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("__gone"))
     gone = space.table(gone, "gone")
     rows = docs.select(*keep).join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
     schema = docs.select(*keep).withColumn("n_words", F.lit(0).cast("long")).withColumn("n_removed", F.lit(0).cast("long")).schema
