@@ -3,6 +3,7 @@
 import base64
 import io
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -175,6 +176,57 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(df, bench.filter("item_id < 0")).collect() == []
 
 
+def _brute_leaks(texts, items, threshold=0.8):
+    out = {}
+    for d, text in enumerate(texts):
+        w = (text or "").lower().split()
+        for k, item in enumerate(items):
+            v = item.lower().split()
+            size = min(5, len(v))
+            grams = lambda x: Counter(tuple(x[i : i + size]) for i in range(len(x) - size + 1))
+            for pos in range(len(w) - len(v) + 1):
+                a, b = grams(w[pos : pos + len(v)]), grams(v)
+                score = sum((a & b).values()) / sum((a | b).values())
+                if score >= max(threshold, out.get((d, k), (0,))[0]) and score > out.get((d, k), (0,))[0]:
+                    out[d, k] = (score, pos)
+    return {key: (pos, score) for key, (score, pos) in out.items()}
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(11)
+    items = [" ".join(f"b{rng.randrange(400)}" for _ in range(n)) for n in (1, 3, 5, 6, 13, 20, 40, 45, 52, 59, 59)] + ["a b a b a b a b a b a b a b", "a a a a a a a a a a a a a"]
+    items.append(items[9])
+    texts = [None, "", "a b a b a b a b a b a b a b a a a a a a a a a a a a a a"]
+    for item in items:
+        for edit in range(7):
+            w = item.split()
+            if edit == 1:  # halves swapped
+                w = w[len(w) // 2 :] + w[: len(w) // 2]
+            elif edit == 2:  # rotated by some words
+                w = w[3:] + w[:3]
+            elif edit > 2:
+                for _ in range(edit - 2):
+                    at = rng.randrange(len(w) + 1)
+                    w[at : at + rng.randrange(2)] = ["new"] * rng.randrange(2)
+            around = [f"c{rng.randrange(900)}" for _ in range(rng.randrange(60))]
+            cut = rng.randrange(len(around) + 1)
+            texts.append(" ".join(around[:cut] + w + around[cut:]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.pos, r.similarity) for r in decontaminate.find_leaks(df, bench).collect()}
+    want = _brute_leaks(texts, items)
+    assert got == want
+    assert (3 + 9 * 7 + 1, 9) in want and (3 + 9 * 7 + 2, 9) in want
+
+
+def test_leaks_of_rows_with_one_id(spark):
+    item = " ".join(f"b{i}" for i in range(20))
+    halves = [" ".join(item.split()[:10]), " ".join(["x"] * 10 + item.split()[10:])]
+    df = spark.createDataFrame([(0, halves[0]), (0, halves[1]), (1, item), (1, item), (2, "y " + item), (2, "z")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.pos, r.similarity) for r in decontaminate.find_leaks(df, spark.createDataFrame([(0, item)], "item_id long, text string")).collect())
+    assert got == [(1, 0, 1.0), (2, 1, 1.0)]
+
+
 def test_severity_held_out():
     rng = random.Random(4)
     texts, grades = [], []

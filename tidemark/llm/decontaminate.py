@@ -1,9 +1,9 @@
 """Benchmark passages in documents, in DataFrame functions alone.
 
-Windows have an item's number of words and begin where one of its shingles would
-stand at its own place.  Each gets a 64-bit SimHash over its weighted shingles;
-20 Hamming blocks meet every item within 19 bits; weighted Jaccard similarity
-(minima over maxima of shingle counts) decides.
+Windows have an item's number of words and begin at any word.  Weighted Jaccard
+similarity (minima over maxima of shingle counts) decides; a similarity implies
+a number of shared shingles, wherever they stand, so windows with fewer places
+that hold a shingle of the item are left out and no other window is.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-RADIUS = 19
 #: Largest set of benchmark shingles that is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -27,23 +26,33 @@ def _shingles(words: Column, size: Column) -> Column:
     return F.when(F.size(words) == 0, F.expr("cast(array() as array<bigint>)")).otherwise(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, size))))
 
 
-def simhash(hashes: Column) -> Column:
-    """Each bit is the majority of the shingles' bits; repeated shingles weigh as often."""
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.aggregate(hashes, F.lit(0), lambda acc, h: acc + F.when(F.call_function("getbit", h, b) == 1, 1).otherwise(-1)))
-    return F.aggregate(F.transform(bits, lambda v, b: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b.cast("int"))).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+def _shared(a: Column, b: Column) -> Column:
+    """Sum of the minima of the shingles' counts."""
+    count = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
+    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, v: acc + F.least(count(a, v), count(b, v)))
 
 
-def _blocks(value: Column) -> Column:
-    """RADIUS + 1 blocks: of RADIUS flipped bits, one block at least has none."""
-    n = RADIUS + 1
-    edges = [round(64 * i / n) for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(value, edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1).alias("v")) for i in range(n)])
+def _best_window(threshold: float) -> Column:
+    """(similarity, -start) of the best window among ``hits``, the places in order that hold a shingle of the item; null if none reaches ``threshold``.
 
+    A window is met once, from the first place in it: the places it needs follow
+    there, and the place before lies outside.
+    """
+    hits, sh, need = F.col("hits"), F.col("sh"), F.col("need")
+    n = F.size(sh)
 
-def weighted_similarity(a: Column, b: Column) -> Column:
-    count = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
-    both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, v: acc + F.least(count(a, v), count(b, v)))
-    return both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
+    def windows(i: Column) -> Column:
+        low = F.greatest(hits[i + need - 1]["at"] - n + 1, F.when(i > 0, hits[F.greatest(i - 1, F.lit(0))]["at"] + 1).otherwise(0), F.lit(0))
+        high = F.least(hits[i]["at"], F.col("n_words") - F.col("len"))
+        starts = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.transform(starts, lambda s: judged(i, s))
+
+    def judged(i: Column, start: Column) -> Column:
+        inside = F.transform(F.filter(F.slice(hits, i + 1, n), lambda x: x["at"] < start + n), lambda x: x["h"])
+        return F.transform(F.array(_shared(inside, sh)), lambda both: F.struct((both / (2 * n - both)).alias("similarity"), (-start).alias("back")))[0]
+
+    found = F.flatten(F.transform(F.sequence(F.lit(0), F.size(hits) - need), windows))
+    return F.array_max(F.filter(found, lambda x: x["similarity"] >= threshold))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -51,32 +60,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) ->
 
     Ties go to the first position.  Null or empty texts and items match nothing.
     """
-    items = benchmark.select("item_id", _words(F.col("text")).alias("w")).filter("size(w) > 0 and item_id is not null").distinct()
-    items = items.withColumn("size", F.least(F.size("w"), F.lit(SHINGLE))).withColumn("sh", _shingles(F.col("w"), F.col("size")))
-    items = items.select("item_id", F.size("w").alias("len"), "size", "sh").withColumn("sim", simhash(F.col("sh")))
-    anchors = items.select("item_id", "len", "size", F.posexplode("sh").alias("off", "h"))
-    places = anchors.select("h", F.struct("len", "off").alias("p")).distinct().groupBy("h").agg(F.collect_set("p").alias("places"))
+    items = benchmark.select("item_id", _words(F.col("text")).alias("w")).filter("size(w) > 0 and item_id is not null")
+    items = items.groupBy("w").agg(F.collect_set("item_id").alias("ids")).withColumn("size", F.least(F.size("w"), F.lit(SHINGLE))).withColumn("sh", _shingles(F.col("w"), F.col("size")))
+    items = items.select(F.xxhash64("w").alias("item"), "ids", F.size("w").alias("len"), "size", "sh")
+    # both / (2 n - both) >= threshold; less a little, as the quotient decides
+    items = items.withColumn("need", F.greatest(F.ceil(F.size("sh") * (2 * threshold / (1 + threshold)) - 1e-9), F.lit(1)).cast("int"))
+    places = items.select("item", "size", F.explode("sh").alias("h")).groupBy("size", "h").agg(F.collect_set("item").alias("items"))
     if places.count() <= BROADCAST_ROWS:
         places = F.broadcast(places)
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # 1 to SHINGLE
     texts = docs.filter("doc_id is not null").select("doc_id", _words(F.col("text")).alias("w"))
-    spots = None
+    # before the shingles are dealt out, so once a text
+    texts = texts.select("doc_id", F.xxhash64("w").alias("print"), F.size("w").alias("n_words"), "w")
+    hits = None
     for s in sizes:
-        found = texts.filter(F.size("w") >= s).select("doc_id", F.posexplode(_shingles(F.col("w"), F.lit(s))).alias("at", "h")).join(places, "h")
-        found = found.select("doc_id", F.explode(F.transform("places", lambda p: F.struct((F.col("at") - p["off"]).alias("start"), p["len"].alias("len")))).alias("x"))
-        spots = found if spots is None else spots.unionByName(found)
-    if spots is None:
+        found = texts.filter(F.col("n_words") >= s).select("doc_id", "print", "n_words", F.posexplode(_shingles(F.col("w"), F.lit(s))).alias("at", "h"))
+        found = found.join(places.filter(F.col("size") == s).drop("size"), "h").withColumn("item", F.explode("items")).drop("items")
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, pos long, n_words int, similarity double")
-    spots = spots.filter("x.start >= 0").groupBy("doc_id").agg(F.collect_set("x").alias("spots"))
-    windows = texts.join(spots, "doc_id").select("doc_id", "w", F.explode("spots").alias("x")).filter("x.start + x.len <= size(w)")
-    windows = windows.select("doc_id", F.col("x.start").alias("pos"), F.col("x.len").alias("len"), F.slice("w", F.col("x.start") + 1, F.col("x.len")).alias("w"))
-    windows = windows.withColumn("wsh", _shingles(F.col("w"), F.least(F.col("len"), F.lit(SHINGLE)))).withColumn("wsim", simhash(F.col("wsh"))).drop("w")
-    left = windows.withColumn("block", F.explode(_blocks(F.col("wsim"))))
-    right = items.select("item_id", F.col("len").alias("ilen"), "sh", "sim", F.explode(_blocks(F.col("sim"))).alias("iblock"))
-    near = left.join(right, (left.len == right.ilen) & (left.block == right.iblock)).filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("wsim"))) <= RADIUS)
-    # the block that first agrees stands for the pair, so that it is judged once
-    same = F.array_position(F.zip_with(_blocks(F.col("sim")), _blocks(F.col("wsim")), lambda x, y: x == y), True) - 1
-    near = near.filter(F.col("block.i") == same)
-    near = near.withColumn("similarity", weighted_similarity(F.col("wsh"), F.col("sh"))).filter(F.col("similarity") >= threshold)
-    best = near.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("pos")).alias("back"), "len")).alias("b"))
+    # rows of one doc_id with other words are texts of their own
+    hits = hits.groupBy("doc_id", "print", "n_words", "item").agg(F.sort_array(F.collect_set(F.struct("at", "h"))).alias("hits"))
+    near = hits.join(items, "item").filter(F.size("hits") >= F.col("need")).withColumn("b", _best_window(threshold)).filter("b is not null")
+    best = near.withColumn("item_id", F.explode("ids")).groupBy("doc_id", "item_id").agg(F.max(F.struct("b.similarity", "b.back", "len")).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.back")).cast("long").alias("pos"), F.col("b.len").cast("int").alias("n_words"), F.col("b.similarity").alias("similarity"))
