@@ -21,6 +21,24 @@ def test_matches_oracle(spark, name):
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want)) and want
 
 
+@pytest.mark.parametrize("name", ["cosine_topk_all", "rrf_fusion_all"])
+def test_every_query_matches_oracle(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = search.queries()[name](spark, SF)
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({search.oracle_sql()[name]})").fetchall()
+    got = list(map(tuple, df.collect()))
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len({r[0] for r in got}) == 25
+
+
+def test_diverse_rows_of_every_query(spark):
+    got = search.mmr_topk_all(spark, SF).collect()
+    assert len(got) == 25 * 8 and sorted({r.query_id for r in got}) == list(range(0, 500, 20))
+    one = sorted((r.place, r.vec_id) for r in search.mmr_topk(spark, SF).collect())
+    assert sorted((r.place, r.vec_id) for r in got if r.query_id == 0) == one
+
+
 def test_passages():
     assert passages.passages(None) == passages.passages(" \n\n ") == []
     assert passages.tokens("a b c") == 4

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import diversity, passages
@@ -55,6 +57,78 @@ def _query(name: str):
     return run
 
 
+#: Rows whose id this divides are the queries of the searches named _all.
+QUERY_STEP = 20
+#: Queries and rows of one matrix product.
+QUERY_BLOCK, ROW_BLOCK = 512, 4096
+
+_DENSE_ALL = f"SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk FROM (SELECT p.vec_id AS query_id, e.vec_id AS id, round({_DOT['duck'].format('e.embedding', 'p.embedding')}, 5) AS score FROM embeddings e CROSS JOIN embeddings p WHERE p.vec_id % {QUERY_STEP} = 0 AND e.vec_id IS NOT NULL AND e.embedding IS NOT NULL AND p.embedding IS NOT NULL) z"
+
+
+def _cosine_all() -> str:
+    return f"SELECT query_id, id AS vec_id, score FROM ({_DENSE_ALL}) d WHERE rk <= 40"
+
+
+def _fusion_all(ranked: str) -> str:
+    """``_fusion`` for each query, from its ranked rows; the words searched for are the same."""
+    head = _fusion("duck").split(", dense AS (", 1)[0]
+    ll = "ll AS (SELECT id, rk FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rk FROM (SELECT doc_id AS id, round(score, 5) AS score FROM s) b WHERE score > 0) z WHERE rk <= 100)"
+    legs = f"ranked AS ({ranked}), dl AS (SELECT query_id, id, rk FROM ranked WHERE score > 0 AND rk <= 100), qs AS (SELECT DISTINCT query_id FROM ranked), {ll}, lq AS (SELECT query_id, id, rk FROM qs CROSS JOIN ll)"
+    fused = "SELECT coalesce(dl.query_id, lq.query_id) AS query_id, coalesce(dl.id, lq.id) AS id, dl.rk AS dense_rank, lq.rk AS lexical_rank, round(coalesce(0.2e0 / (60 + dl.rk), 0e0) + coalesce(0.8e0 / (60 + lq.rk), 0e0), 8) AS fused FROM dl FULL JOIN lq ON dl.query_id = lq.query_id AND dl.id = lq.id"
+    return f"{head}, {legs}, f AS ({fused}) SELECT query_id, id, dense_rank, lexical_rank, fused FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) AS place FROM f) y WHERE place <= 40"
+
+
+def dense_all(rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rk): the ``k`` best of all rows for every query, by blocks of queries and of rows."""
+    rows = rows.filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
+
+    def blocks(df: DataFrame, ids, size: int, name: str) -> DataFrame:
+        return df.groupBy(F.floor(ids / size).alias("block")).agg(F.collect_list("vec_id").alias(f"{name}_ids"), F.collect_list("embedding").alias(name)).drop("block")
+
+    asked = blocks(rows.filter(F.col("vec_id") % QUERY_STEP == 0), F.col("vec_id") / QUERY_STEP, QUERY_BLOCK, "q")
+    pairs = blocks(rows, F.col("vec_id"), ROW_BLOCK, "r").crossJoin(asked)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qs, rs = (batch.column(f"{c}_ids")[i].values.to_numpy() for c in "qr")
+                q, r = (batch.column(c)[i].values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) for c, n in (("q", len(qs)), ("r", len(rs))))
+                scores = np.round(q @ r.T, 5)
+                n = min(k, len(rs))
+                least = np.partition(scores, len(rs) - n, axis=1)[:, len(rs) - n]
+                for j in range(len(qs)):
+                    at = np.flatnonzero(scores[j] >= least[j])
+                    at = at[np.lexsort((rs[at], -scores[j, at]))][:n]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), qs[j])), pa.array(rs[at]), pa.array(scores[j, at] + 0.0)], names=["query_id", "id", "score"])
+
+    found = pairs.mapInArrow(run, "query_id long, id long, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rk", F.row_number().over(best)).filter(F.col("rk") <= k)
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 40 nearest rows of every row whose id QUERY_STEP divides."""
+    return dense_all(_vectors(spark, sf_dir), 40).select("query_id", F.col("id").alias("vec_id"), "score")
+
+
+def rrf_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused search for every row whose id QUERY_STEP divides."""
+    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("documents")
+    dense_all(_vectors(spark, sf_dir), 100).createOrReplaceTempView("dense_hits")
+    return spark.sql(registry._spark(_fusion_all("SELECT query_id, id, score, rk FROM dense_hits")))
+
+
+def mmr_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight diverse rows for every row whose id QUERY_STEP divides."""
+    rows = _vectors(spark, sf_dir)
+    hits = dense_all(rows, 60).withColumnRenamed("id", "vec_id").join(rows, "vec_id").select("query_id", "vec_id", "score", "embedding")
+    return diversity.choose(hits, "query_id", "vec_id", "score", "embedding")
+
+
 def passages_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.cut(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("passage")
 
@@ -68,8 +142,8 @@ def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: _query(name) for name in SPELLED} | {"passages_packed": passages_packed, "mmr_topk": mmr_topk}
+    return {name: _query(name) for name in SPELLED} | {"passages_packed": passages_packed, "mmr_topk": mmr_topk, "cosine_topk_all": cosine_topk_all, "rrf_fusion_all": rrf_fusion_all, "mmr_topk_all": mmr_topk_all}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f("duck") for name, f in SPELLED.items()}
+    return {name: f("duck") for name, f in SPELLED.items()} | {"cosine_topk_all": _cosine_all(), "rrf_fusion_all": _fusion_all(_DENSE_ALL)}
