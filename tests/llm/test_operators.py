@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, chat, decontaminate, idfiles, neardup, queries, repeats, severity, warc, winnow
 from tidemark.llm.workspace import Workspace
@@ -157,6 +158,22 @@ def test_winnowing_against_brute_force(spark):
         assert [(m["hash"], m["pos"]) for m in r.m] == want
 
 
+def test_winnowing_meets_shared_runs(spark):
+    rng = random.Random(8)
+    letters = [chr(0x4E00 + i) for i in range(500)] + ["\U0001F389", "\U00020000"]
+    some = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    rows = []
+    for offset in range(20):  # unspaced text, at each offset; one run of just the length that is guaranteed
+        shared = some(winnow.GRAM + winnow.WINDOW - 1)
+        rows.append((some(40) + shared + some(30), some(40 + offset) + shared + some(9)))
+    rows += [("abcdefghij klmnopqrst", "abcdefghij kl 9876543"), ("", ""), ("Short", "sHORT")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    marks = [winnow.winnow(winnow.gram_hashes(df[c])) for c in "ab"]
+    got = df.select(winnow.likeness(marks[0]["hash"], marks[1]["hash"]).alias("x"), F.size(winnow.gram_hashes(df.a)).alias("n"), "a").collect()
+    assert all(r.x > 0 for r in got[:21]) and [r.x for r in got[21:]] == [1.0, 1.0]
+    assert [r.n for r in got] == [max(len(r.a) - winnow.GRAM + 1, min(len(r.a), 1)) for r in got]
+
+
 def test_next_text(spark):
     df = spark.createDataFrame([(i * 7, f"t{i}") for i in range(50)], "doc_id long, text string")
     got = {r.doc_id: r.nx for r in winnow.with_next(df, "doc_id", "text", "nx").collect()}
