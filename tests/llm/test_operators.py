@@ -101,6 +101,16 @@ def test_repeats_against_brute_force(spark):
     assert repeats.drop_repeats(spark, df.filter("doc_id < 0"), 4).count() == 0
 
 
+@pytest.mark.parametrize("group_rows", [4096, 1])
+def test_repeats_of_rows_given_twice(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(repeats, "GROUP_ROWS", group_rows)
+    clean, again = "a b c d e f g h", "p q r s t p q r s t"
+    rows = [(1, clean), (1, clean), (2, again), (2, again), (3, "x a b c d y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in repeats.drop_repeats(spark, df, 4).collect())
+    assert got == [(1, clean), (1, clean), (2, "p q r s t"), (2, "p q r s t"), (3, "x y")]
+
+
 def _brute_groups(texts, size, percent):
     sets = []
     for t in texts:

@@ -126,7 +126,12 @@ def _tree_repeats(prefix, doc, pos, lo, hi, before, after) -> tuple[np.ndarray,
         a, b, d, p = left[rows, back], right[rows, reach - back], doc[rows], pos[rows] - back
         order = np.lexsort((p, d, b, a))
         a, b = a[order], b[order]
-        later = order[1:][(a[1:] == a[:-1]) & (b[1:] == b[:-1])]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        # one document and start given twice is no earlier copy of itself: the first of a run is carried on
+        fresh = np.concatenate([[True], ~same])
+        head = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+        first = order[head]
+        later = order[(d[order] != d[first]) | (p[order] != p[first])]
         docs.append(d[later])
         starts.append(p[later])
     return np.concatenate([np.zeros(0, np.int64), *docs]), np.concatenate([np.zeros(0, np.int32), *starts])
@@ -192,7 +197,7 @@ def repeated_runs(space: Workspace, docs: DataFrame, length: int) -> DataFrame:
     total = found.count()
     counts = space.table(found.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("large", F.col("n") > GROUP_ROWS), "prefixes")
     kept = lookup(found, counts, "prefix", "n", total, "pos").filter("large is not null")
-    marks = kept.groupBy("doc_id", "large").agg(F.collect_list(F.struct("pos", "lo", "hi")).alias("at")).withColumnRenamed("doc_id", "__id")
+    marks = kept.groupBy("doc_id", "large").agg(F.collect_set(F.struct("pos", "lo", "hi")).alias("at")).withColumnRenamed("doc_id", "__id")
     marks = space.table(marks, "marks")
     texts = docs.select(F.col("doc_id").cast("long"), "text")
 
