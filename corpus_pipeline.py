@@ -22,9 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at 0.8 on five-word shingles the smallest doc_id stays."""
+    """Of each group linked at 0.8 on five-word shingles the smallest doc_id stays; rows without doc_id stay."""
     kept = neardup.near_duplicates(spark, docs, size=5, percent=80).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

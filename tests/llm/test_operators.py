@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import bpe, chat, decontaminate, idfiles, neardup, queries, repeats, severity, warc, winnow
 from tidemark.llm.workspace import Workspace
 
@@ -111,6 +112,13 @@ def test_repeats_of_rows_given_twice(spark, monkeypatch, group_rows):
     assert got == [(1, clean), (1, clean), (2, "p q r s t"), (2, "p q r s t"), (3, "x y")]
 
 
+def test_near_duplicate_stage_keeps_rows_without_id(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(None, text), (None, "other words"), (1, text), (2, text)], "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, text), (0, "other words"), (1, text)])
+
+
 def _brute_groups(texts, size, percent):
     sets = []
     for t in texts:
