@@ -57,6 +57,13 @@ def test_marginal():
     assert diversity.marginal(np.zeros(0), v[:0], 3, 0.5) == []
 
 
+def test_pool_takes_in_the_next_row(spark):
+    # 30 alike rows fill the pool of k = 2; the 31st is unlike them and enters after the first pick
+    rows = [(0, i, 1.0 - i / 1000, [1.0, 0.0]) for i in range(30)] + [(0, 30, 0.9, [0.0, 1.0]), (0, 31, 0.89, [0.0, -1.0])]
+    hits = spark.createDataFrame(rows, "q int, i int, s double, v array<double>")
+    assert [r.i for r in diversity.choose(hits, "q", "i", "s", "v", k=2).orderBy("place").collect()] == [0, 30]
+
+
 def test_query_rows(spark):
     assert search.mmr_topk(spark, SF).count() == 8
     assert search.passages_packed(spark, SF).count() > 100

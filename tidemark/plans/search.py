@@ -136,7 +136,7 @@ def passages_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight diverse rows for vector 0."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    hits = spark.sql(_cosine("spark")) if rows.createOrReplaceTempView("embeddings") is None else None
+    hits = spark.sql(_cosine("spark").replace("LIMIT 40", "LIMIT 60")) if rows.createOrReplaceTempView("embeddings") is None else None
     hits = hits.join(rows, "vec_id").select(F.lit(0).alias("query_id"), "vec_id", "score", "embedding")
     return diversity.choose(hits, "query_id", "vec_id", "score", "embedding")
 
