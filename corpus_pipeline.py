@@ -47,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("repeated_runs", cut_repeats), ("decontamination", drop_leaks), ("bpe", encode)]
 
-#: Stages that fit a model or hash bands are beyond SQL; tests compare them with brute force.
+#: Stages that fit a model or hash bands are beyond SQL; tests compare the operators with brute force, not the whole pipeline.
 ORACLE_SQL = None
 
 
