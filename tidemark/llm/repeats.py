@@ -177,14 +177,15 @@ def _large(space: Workspace, suffixes: DataFrame) -> DataFrame:
     key = F.concat_ws(":", "prefix", "whole", "lo", "hi").alias("class")
     rows = suffixes.select(key, "doc_id", "pos", "lo", "hi")
     classes = suffixes.groupBy(key).agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.min(F.struct("prefix", "lo", "runs")).alias("k"), F.count(F.lit(1)).alias("n"))
-    classes = space.table(classes, "classes")
+    classes = whole = space.table(classes, "classes")
     firsts = classes.select("class", "first", F.col("k.prefix").alias("prefix"), F.col("k.lo").alias("lo"), F.posexplode("k.runs").alias("i", "run"))
     firsts = firsts.select("class", F.concat_ws(":", "prefix", "run").alias("run"), "first.doc_id", (F.col("first.pos") - F.col("lo") - F.col("i")).alias("start"), (F.col("lo") + F.col("i")).alias("back"))
     firsts = space.table(firsts, "first-runs")
     least = firsts.groupBy("run").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     late = lookup(firsts, least, "run", "n", firsts.count(), "class").filter("least is not null and (doc_id <> least.doc_id or start <> least.start)")
     late = late.groupBy("class").agg(F.collect_set("back").alias("late"))
-    classes = classes.select("class", "first", "n").join(late, "class", "left").filter("n > 1 or late is not null")
+    classes = space.table(classes.select("class", "first", "n").join(late, "class", "left").filter("n > 1 or late is not null"), "late")
+    space.drop(whole, firsts)
     found = lookup(rows, classes, "class", "n", rows.count(), "pos").filter("first is not null")
     is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))
     backs = F.when(is_first, F.coalesce("late", F.expr("cast(array() as array<int>)"))).otherwise(F.sequence("lo", "hi"))
@@ -199,14 +200,18 @@ def repeated_runs(space: Workspace, docs: DataFrame, length: int) -> DataFrame:
     kept = lookup(found, counts, "prefix", "n", total, "pos").filter("large is not null")
     marks = kept.groupBy("doc_id", "large").agg(F.collect_set(F.struct("pos", "lo", "hi")).alias("at")).withColumnRenamed("doc_id", "__id")
     marks = space.table(marks, "marks")
+    space.drop(found, counts)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
 
     def at(large: bool) -> DataFrame:
         return texts.join(marks.filter(F.col("large") == large), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "at")
 
-    out = _grown(_suffixes(at(False), length, False), length)
+    out = space.table(_grown(_suffixes(at(False), length, False), length), "starts")
     if not marks.filter("large").isEmpty():
-        out = out.unionByName(_large(space, space.table(_suffixes(at(True), length, True), "large")))
+        suffixes = space.table(_suffixes(at(True), length, True), "large")
+        out = out.unionByName(space.table(_large(space, suffixes), "large-starts"))
+        space.drop(suffixes)
+    space.drop(marks)
     return out
 
 
@@ -222,7 +227,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, length: int = 20, join_wi
     space = Workspace(spark, "repeats")
     keep = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     gone = repeated_runs(space, docs, length).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("__gone"))
-    gone = space.table(gone, "gone")
+    gone = space.table(gone, "gone")  # the only table that the result reads
+    space.drop_all_but(gone)
     rows = docs.select(*keep).join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
     schema = docs.select(*keep).withColumn("n_words", F.lit(0).cast("long")).withColumn("n_removed", F.lit(0).cast("long")).schema
 

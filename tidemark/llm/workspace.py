@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,14 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; on a local master that has none, a folder of our own.
+
+    On a cluster executors do not share the driver's disk, so there the setting must be given.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Removes a query's shuffle files when it ends: a written table needs none of those it came from.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """Names, writes, rereads and removes intermediate tables of one query.
 
@@ -28,7 +40,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-        self._n = 0
+        self._n, self._held = 0, set()
         atexit.register(self._quiet_drop)
 
     def path(self, name: str) -> str:
@@ -37,15 +49,30 @@ class Workspace:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEAN, None)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEAN)
+            else:
+                self.spark.conf.set(_CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tidemark_path = path
+        self._held.add(path)
         return out
 
     def drop(self, *tables: DataFrame | str) -> None:
         """Remove tables that nothing reads any more."""
         for t in tables:
-            self._delete(t if isinstance(t, str) else t._tidemark_path)
+            path = t if isinstance(t, str) else t._tidemark_path
+            self._held.discard(path)
+            self._delete(path)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Remove all tables but these, which the result reads."""
+        self.drop(*(self._held - {t._tidemark_path for t in tables}))
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
