@@ -99,10 +99,22 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
                     for j in range(k):
                         out[full, j] = (np.minimum.reduceat((values ^ salts[j]) * odd[j] >> U(32), at[full])).astype(np.uint32).view(np.int32)
                 rows = np.arange(len(part) + 1, dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(rows * k), pa.array(out.ravel())), lists], names=["rep", "sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(rows * k), pa.array(out.ravel())), pa.array(np.diff(at))], names=["rep", "sig", "n"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "rep long, sig array<int>, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "rep long, sig array<int>, n long")
+
+
+def _sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """(rep, shingles) of the documents in ``reps`` (column rep, each once), from their texts: the sets are not kept for all."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                values, at = shingle_sets(part.column("text"), size)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))], names=["rep", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    return texts.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "rep long, shingles array<long>")
 
 
 def _plausible(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -122,21 +134,26 @@ def _plausible(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _verify(space: Workspace, pairs: DataFrame, reps: DataFrame, percent: int, label: str) -> DataFrame:
-    """The pairs (a, b) that are links, as a table."""
+def _verify(space: Workspace, pairs: DataFrame, sigs: DataFrame, docs: DataFrame, size: int, percent: int, label: str) -> tuple[DataFrame, int, int]:
+    """The pairs (a, b) that are links, as a table, and the numbers of pairs and of links."""
 
-    def attach(rows: DataFrame, column: str, total: int) -> DataFrame:
+    def attach(rows: DataFrame, values_of: DataFrame, column: str, total: int) -> DataFrame:
         for side in ("a", "b"):
             degree = rows.groupBy(side).agg(F.count(F.lit(1)).alias("__deg"))
-            values = degree.join(reps.select(F.col("rep").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+            values = degree.join(values_of.select(F.col("rep").alias(side), F.col(column).alias(f"{column}_{side}")), side)
             rows = lookup(rows, values, side, "__deg", total, "a" if side == "b" else "b", HUBS)
         return rows
 
     pairs = space.table(pairs, f"{label}-pairs")
-    likely = space.table(_plausible(attach(pairs, "sig", pairs.count()), percent / 100), f"{label}-likely")
-    found = attach(likely, "shingles", likely.count())
+    n = pairs.count()
+    likely = space.table(_plausible(attach(pairs, sigs, "sig", n), percent / 100), f"{label}-likely")
+    space.drop(pairs)
+    sets = space.table(_sets(docs, likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct(), size), f"{label}-sets")
+    found = attach(likely, sets, "shingles", likely.count())
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return space.table(found.filter(100 * both >= percent * (F.size("shingles_a") + F.size("shingles_b") - both)).select("a", "b"), f"{label}-links")
+    links = space.table(found.filter(100 * both >= percent * (F.size("shingles_a") + F.size("shingles_b") - both)).select("a", "b"), f"{label}-links")
+    space.drop(likely, sets)
+    return links, n, links.count()
 
 
 def components(space: Workspace, edges: DataFrame) -> DataFrame:
@@ -149,25 +166,26 @@ def components(space: Workspace, edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
         large = lookup(both, least, "u", "n", total, "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = space.table(large, "cc-large")
+        space.drop(current)
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         joined = lookup(large, least, "u", "n", total, "v")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        space.drop(current)
         current = space.table(small, "cc")
+        space.drop(large)
         now = current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             return current.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
         state = now
 
 
-def _rare_places(members: DataFrame, sigs: DataFrame, percent: int, total: int) -> DataFrame:
+def _rare_places(members: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
     """(t, pos, rep, n, c): shingles of ``members`` (rep, n, c) that may be the rarest one shared with a link.
 
     Shingles stand in ascending order of their frequency among the members.  Two sets
     with at least ``percent`` in common share one among their first n - n * percent / 100 + 1.
     Shingles of one member alone come first and meet nothing.
     """
-    shingles = sigs.join(members.select("rep", "c"), "rep").select("rep", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
+    shingles = sets.join(members.select("rep", "c"), "rep").select("rep", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
     often = shingles.groupBy("t").agg(F.count(F.lit(1)).alias("f")).filter("f > 1").withColumn("often", F.col("f"))
     shared = lookup(shingles, often, "t", "f", total, "rep").filter("often is not null")
     ranked = shared.groupBy("rep", "c", "n").agg(F.array_sort(F.collect_list(F.struct("often", "t"))).alias("ts"))
@@ -196,8 +214,11 @@ def _rare_pairs(places: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
-    ``docs`` has doc_id (unique) and text; other columns are ignored.  Null and
-    wordless texts have no shingles, are linked with nothing and are kept.
+    ``docs`` has doc_id and text; other columns are ignored.  Null and wordless texts
+    have no shingles, are linked with nothing and are kept.  A null doc_id is no
+    document's smallest one: such a row has the id of its copies with one, or null
+    as component and as kept.  ``docs`` is read several times (texts of pairs to be
+    confirmed are read again rather than kept), so it should be a table.
     """
     space = Workspace(spark, "neardup")
     rows = space.table(_classes(docs, size), "classes")
@@ -205,12 +226,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     reps = space.table(rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "reps")
     sigs = space.table(_signatures(docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), size), "signatures")
     keys = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)])
-    members = sigs.select("rep", F.size("shingles").alias("n"), F.explode(keys).alias("band"))
-    bands = members.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    members = space.table(lookup(members, bands, "band", "k", total * BANDS, "rep").filter("hub is not null"), "members")
-    stars = members.filter("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _verify(space, stars, sigs, percent, "star")
-    done, turn = stars, 0
+    everyone = sigs.select("rep", "n", F.explode(keys).alias("band"))
+    bands = everyone.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    bands = space.table(bands, "bands")
+    members = space.table(lookup(everyone, bands, "band", "k", total * BANDS, "rep").filter("hub is not null"), "members")
+    space.drop(bands)
+    stars = space.table(members.filter("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    links, _, _ = _verify(space, stars, sigs, docs, size, percent, "star")
+    done, turn, waste = stars, 0, [stars]
     while True:
         # members of bands that hold several components; a pair inside a component adds nothing
         first = space.table(components(space, links), "labels")
@@ -218,9 +241,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
         order = F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "c")
         mixed = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(order).alias("pick"), F.count(F.lit(1)).alias("k")).filter("low <> high")
         open_rows = space.table(lookup(labelled, mixed, "band", "k", total * BANDS, "rep").filter("low is not null"), "open")
-        alone = open_rows.select("rep", "n", "c").distinct()
+        space.drop(first)
+        alone = space.table(open_rows.select("rep", "n", "c").distinct(), "alone")
         size_of = alone.agg(F.count(F.lit(1)), F.sum("n")).first()
-        places = space.table(_rare_places(alone, sigs, percent, size_of[1] or 0), "places")
+        sets = space.table(_sets(docs, alone, size), "open-sets")
+        places = space.table(_rare_places(alone, sets, percent, size_of[1] or 0), "places")
+        space.drop(sets, alone)
         met = places.groupBy("t").agg((F.count(F.lit(1)) * F.count_if(_leading(percent))).alias("k")).agg(F.sum("k")).first()[0] or 0
         if met <= PAIRS_PER_MEMBER * size_of[0]:
             break
@@ -228,12 +254,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
         more = open_rows.filter("c <> pick.c").select(F.least("rep", "pick.rep").alias("a"), F.greatest("rep", "pick.rep").alias("b")).distinct()
         more = space.table(more.join(done, ["a", "b"], "left_anti"), "hub-pairs")
         done, turn = done.union(more), turn + 1
-        new = _verify(space, more, sigs, percent, f"hub-{turn}")
+        new, n_pairs, n_links = _verify(space, more, sigs, docs, size, percent, f"hub-{turn}")
         links = links.union(new)
-        if LEAST_YIELD * new.count() < more.count():
+        waste += [more, open_rows]
+        if LEAST_YIELD * n_links < n_pairs:
             break
-    more = _verify(space, _rare_pairs(places, percent).join(done, ["a", "b"], "left_anti"), sigs, percent, "rest")
+        space.drop(open_rows, places)
+    space.drop(members)
+    more, _, _ = _verify(space, _rare_pairs(places, percent).join(done, ["a", "b"], "left_anti"), sigs, docs, size, percent, "rest")
+    space.drop(sigs, places, open_rows, *waste)
     found = components(space, links.union(more))
-    named = reps.join(found, reps.rep == found.node, "left").select("class", F.coalesce("component", "rep").alias("component_id"), "n")
+    named = space.table(reps.join(found, reps.rep == found.node, "left").select("class", F.coalesce("component", "rep").alias("component_id"), "n"), "named")
     out = lookup(rows, named, "class", "n", total, "doc_id").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    out = space.table(out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")), "out")
+    space.drop_all_but(out)
+    return out
