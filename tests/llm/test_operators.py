@@ -68,14 +68,50 @@ def test_range_coder_round_trip(n):
             list(idfiles.read_chunks(io.BytesIO(packed[:-1] + bytes([packed[-1] ^ 1]))))
 
 
-def test_id_files(spark, docs, empty):
+def test_range_coder_of_odd_ids():
+    for ids in (np.zeros(5000, np.int64), np.arange(5000) * 13 % 100003, np.tile([70000, 5, 70000, 9], 1200), np.random.default_rng(3).integers(0, 1 << 20, 4097)):
+        packed = idfiles.MAGIC + idfiles.pack_chunk([1, 2], [4, len(ids) - 4], ids)
+        ((_, _, back),) = idfiles.read_chunks(io.BytesIO(packed))
+        assert back.tolist() == ids.tolist()
+
+
+def test_ids_are_the_library():
+    from tokenizers import Tokenizer
+
     path = queries.vocabulary("byte_bpe_50k.json")
-    got = sorted(idfiles.file_round_trip(spark, docs, path, Workspace(spark, "t")).collect())
-    start = 0
-    for r in got:
+    lib, own = Tokenizer.from_file(path), idfiles.IdEncoder(path)
+    rng = random.Random(9)
+    bits = ["a", "Be", " ", "  ", "\n", "\t", "'s", "12", ".", "<|endoftext|>", "é", "\u00a0", "\u3000", "你", "\x1c", "!?", "\r\n", "\u200b"]
+    texts = [(t or "") for t in HOSTILE] + ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(600)]
+    for _ in range(2):
+        ids, counts = own.encode(texts)
+        at = np.concatenate([[0], np.cumsum(counts)])
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+        own.MEMO_CHARS = 0  # the memory starts anew
+    assert own.encode([])[1].tolist() == []
+
+
+def test_id_files(spark, docs, empty, monkeypatch):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    extra = spark.createDataFrame([(None, "no id", "x"), (4, "an id again", "x")], docs.schema)
+    monkeypatch.setattr(idfiles, "BLOCK", 7)
+    monkeypatch.setattr(idfiles, "LANES", 5)  # documents go over blocks and chunks
+    got = idfiles.file_round_trip(spark, docs.union(extra), path, Workspace(spark, "t")).collect()
+    start, want = 0, []
+    for r in sorted(got, key=lambda r: r.start):
         assert r.start == start
         start += r.n_tokens
-    assert [r.doc_id for r in got] == list(range(len(HOSTILE)))
+    for t, i in [*((t, i) for i, t in enumerate(HOSTILE)), ("no id", None), ("an id again", 4)]:
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((-1 if i is None else i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    key = [(-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32) for r in sorted(got, key=lambda r: r.start)]
+    assert sorted(key) == sorted(want) and [k[0] for k in key] == sorted(k[0] for k in key)
     assert idfiles.file_round_trip(spark, empty, path, Workspace(spark, "t")).collect() == []
 
 
@@ -273,10 +309,34 @@ def test_severity_held_out():
         grades.append(g)
     grades = np.array(grades)
     ids, at = severity.features(pa.array(texts[:400]))
-    model = severity.fit(ids.astype(np.int64), at, grades[:400], 3)
+    model = severity.fit(ids, at, grades[:400], 3)
     up = model.above(model.scores(pa.array(texts[400:] + [None, ""])))
-    assert ((up[:200, 0] >= 0.5) == (grades[400:] > 0)).mean() > 0.97
-    assert (np.diff(model.thresholds) >= 0).all() and (up[200:, 0] < 0.5).all()
+    assert ((up[:200, 0] >= severity.TOXIC_P) == (grades[400:] > 0)).mean() > 0.97
+    assert (np.diff(model.thresholds) >= 0).all() and (up[200:, 0] < severity.TOXIC_P).all()
+
+
+def test_severity_features():
+    ids, at = severity.features(pa.array(["Bad, bad (bad)!", "bad", "?! --", None, "badness bad"]))
+    rows = [set(ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert rows[0] == rows[1] and len(rows[0]) == 1 and rows[2] == rows[3] == set()
+    assert len(rows[4]) == 1 + 1 + len(severity.STEMS) and rows[1] < rows[4]
+
+
+def test_severity_on_tables(spark, empty):
+    rng = random.Random(6)
+    rows = [(i, " ".join([f"w{rng.randrange(90)}" for _ in range(30)] + ["awful"] * (i % 5 == 0)), "x") for i in range(200)]
+    docs = spark.createDataFrame([*rows, (500, None, "x"), (501, "", "x"), (None, "awful", "x"), (3, rows[3][1], "x")], "doc_id long, text string, severity string")
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)] + [(7, 1, 0), (7, 0, 1), (8, None, None), (None, 1, 1), (500, 1, 0)], "doc_id long, quality int, toxic int")
+    model = severity.fit_on_labels(docs, severity.label_grades(labels))
+    got = severity.grade_documents(docs, model).collect()
+    assert len(got) == 204
+    for r in got:
+        assert (r.toxic_p >= severity.TOXIC_P) == ("awful" in (r.text or ""))
+    bounded = severity.fit_on_labels(docs, severity.label_grades(labels), train_bytes=0)
+    assert not bounded.weights.any()
+    none = severity.fit_on_labels(docs, severity.label_grades(labels.filter("doc_id < 0")))
+    assert all(r.toxic_p < severity.TOXIC_P for r in severity.grade_documents(docs, none).collect())
+    assert severity.grade_documents(empty, model).count() == 0
 
 
 def test_archives(spark):

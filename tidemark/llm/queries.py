@@ -67,7 +67,7 @@ def op8_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = severity.fit_on_labels(docs, severity.label_grades(table(spark, sf_dir, "labels")))
     out = severity.grade_documents(docs, model)
-    return out.select("doc_id", F.round("severity", 6).alias("severity"), F.round("toxic_p", 6).alias("toxic_p"), (F.col("toxic_p") >= 0.5).alias("toxic"))
+    return out.select("doc_id", F.round("severity", 6).alias("severity"), F.round("toxic_p", 6).alias("toxic_p"), (F.col("toxic_p") >= severity.TOXIC_P).alias("toxic"))
 
 
 def op6_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
