@@ -10,21 +10,21 @@ from tidemark.llm.queries import table, vocabulary
 from tidemark.llm.workspace import Workspace
 
 #: Documents whose chance of any toxicity is at least this go.
-TOXIC_P = 0.5
+TOXIC_P = severity.TOXIC_P
 #: Runs of so many words that occur earlier are cut.
 REPEAT_WORDS = 50
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fitted on the labels of the whole documents table; grades what it is given."""
+    """Texts graded toxic go; null and empty ones have no words and stay.  Fitted on the labels of the whole documents table."""
     model = severity.fit_on_labels(table(spark, sf_dir, "documents"), severity.label_grades(table(spark, sf_dir, "labels")))
     return severity.grade_documents(docs, model).filter(F.col("toxic_p") < TOXIC_P).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at 0.8 on five-word shingles the smallest doc_id stays; rows without doc_id stay."""
-    kept = neardup.near_duplicates(spark, docs, size=5, percent=80).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    """Of each group linked at 0.8 on five-word shingles the smallest doc_id stays; rows without doc_id or words stay."""
+    gone = neardup.near_duplicates(spark, docs, size=5, percent=80).filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
