@@ -1,10 +1,8 @@
 """Every SQL query gives DuckDB's rows."""
 
-import math
-
-import duckdb
 import pytest
 
+from tests import oracle
 from tidemark.functions.ratios import FACTORS, RATIOS
 from tidemark.plans import registry
 
@@ -12,31 +10,13 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
-def oracle():
-    con = duckdb.connect()
-    for t in registry.TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    return con
-
-
-def _plain(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
-        return None
-    return round(v, 3) + 0.0 if isinstance(v, float) else v
-
-
-def _rows(columns, rows):
-    order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(repr([_plain(r[i]) for i in order]) for r in rows)
+def con():
+    return oracle.connect(SF)
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
-def test_matches_oracle(spark, oracle, name):
-    df = registry.queries()[name](spark, SF)
-    got = oracle.execute(registry.oracle_sql()[name])
-    columns = [d[0] for d in got.description]
-    assert sorted(df.columns) == sorted(columns)
-    assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(columns, got.fetchall())
+def test_matches_oracle(spark, con, name):
+    oracle.assert_same(registry.queries()[name](spark, SF), con, registry.oracle_sql()[name])
 
 
 def test_registry_is_whole():

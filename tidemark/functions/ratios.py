@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 
@@ -14,6 +15,7 @@ class Ratio(NamedTuple):
     higher_is_better: bool | None
 
 
+# Names, formulas, scales, guards and polarity of the ratios.
 # ``a`` is the annualisation factor of the period, ``days`` its length.
 _DAYS = "days"
 RATIOS = [
@@ -50,16 +52,40 @@ RATIOS = [
 BY_NAME = {r.name: r for r in RATIOS}
 
 
+#: Words of the formulas that are no concepts.
+_NOT_INPUTS = {"a", "days", "abs", "case", "when", "then", "else", "end", "least", "greatest", "nullif"}
+
+
+def inputs(r: Ratio) -> list[str]:
+    """Concepts of a ratio in the order of its formula."""
+    if r.name == "return_on_invested_capital":
+        return ["ebit", "income_tax_expense", "pretax_income", "total_debt", "total_equity"]
+    found = re.findall(r"[a-z_]+", f"{r.numerator} {r.denominator}".lower())
+    return [w for w in dict.fromkeys(found) if w not in _NOT_INPUTS]
+
+
 def value_sql(r: Ratio) -> str:
-    """The ratio, or null where its guarded input is not positive or its denominator is zero."""
-    out = f"{r.numerator} / nullif({r.denominator}, 0) * {r.scale}"
-    return f"CASE WHEN {r.guard} > 0 THEN {out} END" if r.guard else out
+    """The ratio, or null where an input is missing, its guarded input is not positive or its denominator is zero."""
+    have = " AND ".join([f"{c} IS NOT NULL" for c in inputs(r)] + ([f"{r.guard} > 0"] if r.guard else []))
+    return f"CASE WHEN {have} THEN {r.numerator} / nullif({r.denominator}, 0) * {r.scale} END"
+
+
+def reason_sql(r: Ratio, whole: str = "format('{{:,.0f}}', CAST({0} AS DOUBLE))") -> str:
+    """Why a ratio is null, else 'ok'; ``whole`` spells a number without decimals."""
+    missing = " || ".join(f"CASE WHEN {c} IS NULL THEN ', {c}' ELSE '' END" for c in inputs(r))
+    absent = " OR ".join(f"{c} IS NULL" for c in inputs(r))
+    guard = f"WHEN {r.guard} <= 0 THEN '{r.guard} is ' || {whole.format(r.guard)} || '; the ratio is not economically meaningful with a non-positive denominator' " if r.guard else ""
+    return f"CASE WHEN {absent} THEN 'missing inputs: ' || substr({missing}, 3) {guard}WHEN {r.denominator} = 0 THEN 'division by zero' ELSE 'ok' END"
+
+
+def display_sql(value: str, unit: str) -> str:
+    """A ratio as text, by its unit; null is n/a."""
+    spelled = {"%": f"printf('%.1f%%', {value})", "x": f"printf('%.2fx', {value})", "days": f"printf('%.0f days', {value})"}[unit]
+    return f"CASE WHEN {value} IS NULL THEN 'n/a' ELSE {spelled} END"
 
 
-def reason_sql(r: Ratio) -> str:
-    """Why a ratio is null: an input is missing, the guarded one is not positive, or the division is by zero."""
-    guard = f"WHEN {r.guard} <= 0 THEN 'non-positive {r.guard}' " if r.guard else ""
-    return f"CASE WHEN {r.numerator} IS NULL OR {r.denominator} IS NULL THEN 'missing inputs' {guard}WHEN {r.denominator} = 0 THEN 'division by zero' ELSE 'ok' END"
+def unit(r: Ratio) -> str:
+    return {"100": "%", "days": "days"}.get(r.scale, "x")
 
 
 # Weight and score curve (ratio, score) of each scorecard factor; composite floors of the rating bands.
@@ -75,7 +101,7 @@ FACTORS = [
     ("ebitda_margin", 0.08, [(-10, 0), (0, 18), (8, 38), (15, 55), (25, 74), (40, 90), (60, 100)]),
     ("return_on_assets", 0.07, [(-15, 0), (0, 22), (3, 42), (6, 60), (10, 78), (18, 92), (30, 100)]),
 ]
-BANDS = [(88, "aa+"), (78, "a"), (66, "bbb"), (56, "bb"), (44, "b"), (0, "ccc")]
+BANDS = [(88, "aa or higher"), (78, "a"), (66, "bbb"), (56, "bb"), (44, "b"), (0, "ccc or lower")]
 
 
 def interpolate_sql(x: str, anchors: list[tuple[float, float]]) -> str:

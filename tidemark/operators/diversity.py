@@ -28,7 +28,7 @@ def marginal(relevance: np.ndarray, vectors: np.ndarray, k: int, weight: float,
     return chosen
 
 
-def choose(hits: DataFrame, query: str, row: str, relevance: str, vector: str, k: int = 8, weight: float = 0.7) -> DataFrame:
+def choose(hits: DataFrame, query: str, row: str, relevance: str, vector: str, k: int = 8, weight: float = 0.95) -> DataFrame:
     """(query, row, place) of ``k`` hits for each query, from a pool of its max(6k, 30) most relevant, refilled after each pick."""
     size = max(6 * k, 30)
     pool = Window.partitionBy(query).orderBy(F.desc(relevance), row)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +14,6 @@ from tidemark.operators import diversity, passages
 from . import registry
 
 _DOT = {"spark": "aggregate(zip_with({0}, {1}, (a, b) -> CAST(a AS DOUBLE) * CAST(b AS DOUBLE)), 0D, (s, x) -> s + x)", "duck": "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"}
-_BM25 = registry.SQL["bm25_topk"].rsplit(" SELECT doc_id, round(score, 5)", 1)[0]
 
 
 def _dense(engine: str) -> str:
@@ -27,7 +28,8 @@ def _fusion(engine: str) -> str:
     """Reciprocal ranks of both legs' best 100 rows with positive scores; the dense leg weighs 0.2."""
     legs = ", ".join(f"{leg} AS (SELECT id, rk FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rk FROM {source} WHERE score > 0) z WHERE rk <= 100)" for leg, source in (("dl", "dense"), ("ll", "(SELECT doc_id AS id, round(score, 5) AS score FROM s) b")))
     dense = _dense(engine)
-    return f"{_BM25.replace('dl AS (', 'lens AS (').replace('FROM dl)', 'FROM lens)').replace('JOIN dl ON tf.doc_id = dl.doc_id', 'JOIN lens ON tf.doc_id = lens.doc_id').replace('dl.n', 'lens.n')}, {dense}, {legs} SELECT coalesce(dl.id, ll.id) AS id, dl.rk AS dense_rank, ll.rk AS lexical_rank, round(coalesce(0.2e0 / (60 + dl.rk), 0e0) + coalesce(0.8e0 / (60 + ll.rk), 0e0), 8) AS fused FROM dl FULL JOIN ll ON dl.id = ll.id ORDER BY fused DESC, id LIMIT 40"
+    lexical = registry.BM25 if engine == "duck" else registry._spark(registry.BM25)
+    return f"WITH {lexical.replace('dl AS (', 'lens AS (').replace('FROM dl)', 'FROM lens)').replace('JOIN dl ON tf.doc_id = dl.doc_id', 'JOIN lens ON tf.doc_id = lens.doc_id').replace('dl.n', 'lens.n')}, {dense}, {legs} SELECT coalesce(dl.id, ll.id) AS id, dl.rk AS dense_rank, ll.rk AS lexical_rank, round(coalesce(0.2e0 / (60 + dl.rk), 0e0) + coalesce(0.8e0 / (60 + ll.rk), 0e0), 8) AS fused FROM dl FULL JOIN ll ON dl.id = ll.id ORDER BY fused DESC, id LIMIT 40"
 
 
 def _page_text(engine: str) -> str:
@@ -50,9 +52,7 @@ SPELLED = {"cosine_topk": _cosine, "rrf_fusion": _fusion, "html_to_text": _page_
 
 def _query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for t in ("documents", "embeddings", "pages"):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        return spark.sql(registry._spark(SPELLED[name]("spark")))
+        return registry.run_sql(spark, sf_dir, registry._spark(SPELLED[name]("spark")))
 
     return run
 
@@ -69,9 +69,9 @@ def _cosine_all() -> str:
     return f"SELECT query_id, id AS vec_id, score FROM ({_DENSE_ALL}) d WHERE rk <= 40"
 
 
-def _fusion_all(ranked: str) -> str:
+def _fusion_all(engine: str, ranked: str) -> str:
     """``_fusion`` for each query, from its ranked rows; the words searched for are the same."""
-    head = _fusion("duck").split(", dense AS (", 1)[0]
+    head = _fusion(engine).split(", dense AS (", 1)[0]
     ll = "ll AS (SELECT id, rk FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rk FROM (SELECT doc_id AS id, round(score, 5) AS score FROM s) b WHERE score > 0) z WHERE rk <= 100)"
     legs = f"ranked AS ({ranked}), dl AS (SELECT query_id, id, rk FROM ranked WHERE score > 0 AND rk <= 100), qs AS (SELECT DISTINCT query_id FROM ranked), {ll}, lq AS (SELECT query_id, id, rk FROM qs CROSS JOIN ll)"
     fused = "SELECT coalesce(dl.query_id, lq.query_id) AS query_id, coalesce(dl.id, lq.id) AS id, dl.rk AS dense_rank, lq.rk AS lexical_rank, round(coalesce(0.2e0 / (60 + dl.rk), 0e0) + coalesce(0.8e0 / (60 + lq.rk), 0e0), 8) AS fused FROM dl FULL JOIN lq ON dl.query_id = lq.query_id AND dl.id = lq.id"
@@ -117,9 +117,11 @@ def cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rrf_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused search for every row whose id QUERY_STEP divides."""
-    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("documents")
-    dense_all(_vectors(spark, sf_dir), 100).createOrReplaceTempView("dense_hits")
-    return spark.sql(registry._spark(_fusion_all("SELECT query_id, id, score, rk FROM dense_hits")))
+    hits = f"dense_hits_{uuid.uuid4().hex}"
+    dense_all(_vectors(spark, sf_dir), 100).createOrReplaceTempView(hits)
+    out = registry.run_sql(spark, sf_dir, _fusion_all("spark", f"SELECT query_id, id, score, rk FROM {hits}"))
+    spark.catalog.dropTempView(hits)
+    return out
 
 
 def mmr_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +138,7 @@ def passages_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight diverse rows for vector 0."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    hits = spark.sql(_cosine("spark").replace("LIMIT 40", "LIMIT 60")) if rows.createOrReplaceTempView("embeddings") is None else None
+    hits = registry.run_sql(spark, sf_dir, _cosine("spark").replace("LIMIT 40", "LIMIT 60"))
     hits = hits.join(rows, "vec_id").select(F.lit(0).alias("query_id"), "vec_id", "score", "embedding")
     return diversity.choose(hits, "query_id", "vec_id", "score", "embedding")
 
@@ -146,4 +148,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f("duck") for name, f in SPELLED.items()} | {"cosine_topk_all": _cosine_all(), "rrf_fusion_all": _fusion_all(_DENSE_ALL)}
+    return {name: f("duck") for name, f in SPELLED.items()} | {"cosine_topk_all": _cosine_all(), "rrf_fusion_all": _fusion_all("duck", _DENSE_ALL)}
