@@ -127,9 +127,12 @@ def _brute_repeats(texts, n):
     return [[x for i, x in enumerate(w) if i not in gone[d]] for d, w in enumerate(words)]
 
 
-def test_repeats_against_brute_force(spark):
+@pytest.mark.parametrize("group_rows, list_rows", [(4096, 4096), (2, 4096), (1, 3)])
+def test_repeats_against_brute_force(spark, monkeypatch, group_rows, list_rows):
+    monkeypatch.setattr(repeats, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(repeats, "LIST_ROWS", list_rows)
     rng = random.Random(5)
-    texts = [" ".join(rng.choice("ab") for _ in range(rng.randrange(12))) for _ in range(40)] + [None, "", "a a a a a a a a a a"]
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randrange(12))) for _ in range(40)] + [None, "", "a a a a a a a a a a"] + ["a b b a b a a b a b b a"] * 9
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in repeats.drop_repeats(spark, df, 4).collect()}
     for i, want in enumerate(_brute_repeats(texts, 4)):

@@ -24,6 +24,8 @@ from .workspace import Workspace, lookup
 
 #: Largest group, in suffixes, of which trees are built in memory.
 GROUP_ROWS = 4096
+#: About so many members of a class of equal suffixes stand in one list.
+LIST_ROWS = 4096
 #: Suffixes of whole groups that one tree holds at a time (several groups share it).
 TREE_ROWS = 1 << 15
 
@@ -173,23 +175,33 @@ def _grown(suffixes: DataFrame, length: int) -> DataFrame:
 
 
 def _large(space: Workspace, suffixes: DataFrame) -> DataFrame:
-    """(doc_id, starts) of repeats in groups beyond memory; ``suffixes`` is a table."""
+    """(doc_id, starts) of repeats in groups beyond memory; ``suffixes`` is a table.
+
+    Members of a class are gathered in lists of about LIST_ROWS before anything is
+    joined, so joins see lists and classes, not members.
+    """
+    total = suffixes.count()
     key = F.concat_ws(":", "prefix", "whole", "lo", "hi").alias("class")
-    rows = suffixes.select(key, "doc_id", "pos", "lo", "hi")
-    classes = suffixes.groupBy(key).agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.min(F.struct("prefix", "lo", "runs")).alias("k"), F.count(F.lit(1)).alias("n"))
-    classes = whole = space.table(classes, "classes")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(1 + total // LIST_ROWS)).alias("salt")
+    lists = suffixes.groupBy(key, salt).agg(F.collect_list(F.struct("doc_id", "pos")).alias("at"), F.min(F.struct("doc_id", "pos")).alias("first"), F.min(F.struct("prefix", "lo", "hi", "runs")).alias("k"), F.count(F.lit(1)).alias("n"))
+    lists = space.table(lists, "lists")
+    classes = whole = space.table(lists.groupBy("class").agg(F.min("first").alias("first"), F.min("k").alias("k"), F.sum("n").alias("n")), "classes")
     firsts = classes.select("class", "first", F.col("k.prefix").alias("prefix"), F.col("k.lo").alias("lo"), F.posexplode("k.runs").alias("i", "run"))
     firsts = firsts.select("class", F.concat_ws(":", "prefix", "run").alias("run"), "first.doc_id", (F.col("first.pos") - F.col("lo") - F.col("i")).alias("start"), (F.col("lo") + F.col("i")).alias("back"))
     firsts = space.table(firsts, "first-runs")
     least = firsts.groupBy("run").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     late = lookup(firsts, least, "run", "n", firsts.count(), "class").filter("least is not null and (doc_id <> least.doc_id or start <> least.start)")
     late = late.groupBy("class").agg(F.collect_set("back").alias("late"))
-    classes = space.table(classes.select("class", "first", "n").join(late, "class", "left").filter("n > 1 or late is not null"), "late")
+    classes = space.table(classes.select("class", "first", "n", "k.lo", "k.hi").join(late, "class", "left").filter("n > 1 or late is not null"), "late")
     space.drop(whole, firsts)
-    found = lookup(rows, classes, "class", "n", rows.count(), "pos").filter("first is not null")
-    is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))
-    backs = F.when(is_first, F.coalesce("late", F.expr("cast(array() as array<int>)"))).otherwise(F.sequence("lo", "hi"))
-    return found.select("doc_id", F.transform(backs, lambda b: F.col("pos") - b).alias("starts"))
+    found = lookup(lists.select("class", "salt", "at"), classes, "class", "n", total, "salt").filter("first is not null")
+
+    def starts(m):
+        is_first = (m["doc_id"] == F.col("first.doc_id")) & (m["pos"] == F.col("first.pos"))
+        backs = F.when(is_first, F.coalesce("late", F.expr("cast(array() as array<int>)"))).otherwise(F.sequence("lo", "hi"))
+        return F.struct(m["doc_id"].alias("doc_id"), F.transform(backs, lambda b: m["pos"] - b).alias("starts"))
+
+    return found.select(F.inline(F.transform("at", starts)))
 
 
 def repeated_runs(space: Workspace, docs: DataFrame, length: int) -> DataFrame:
