@@ -201,6 +201,23 @@ def test_preference_format(spark):
     assert got == [("chosen", "<|assistant|>\nyes<|end|>\n", "yes<|end|>\n"), ("prompt", "<|user|>\nhi<|end|>\n", ""), ("rejected", "<|assistant|>\n<|end|>\n", "<|end|>\n")]
 
 
+def test_preference_pairs(spark):
+    turn = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
+    rows = [(1, s, c, t, r, x) for s, c, last in (("chosen", 5, "good"), ("rejected", 6, "bad")) for t, (r, x) in enumerate([("system", "be kind"), ("user", "hi"), ("assistant", "hello"), ("user", "more"), ("assistant", last), ("user", "ok"), ("assistant", last)])]
+    rows += [(2, "chosen", 7, 0, "User", "alone"), (2, "chosen", 7, 1, None, None), (3, "chosen", 8, 0, "user", "a"), (3, "rejected", 9, 0, "user", "a")]
+    rows += [(4, "chosen", 10, 0, "user", "x"), (4, "chosen", 10, 0, "user", "y"), (4, "rejected", 11, 0, "user", "y"), (4, "rejected", 11, 0, "user", "x"), (4, "rejected", 11, None, "assistant", "early")]
+    df = spark.createDataFrame([(*r, "extra") for r in rows], "pair_id long, side string, conv_id long, turn long, role string, text string, segment string")
+    got = {r.pair_id: r for r in chat.paired(chat.preference_format(df, len(rows))).collect()}
+    one = got[1]
+    assert one.prompt == turn("system", "be kind") + turn("user", "hi") + turn("assistant", "hello") + turn("user", "more")
+    assert one.chosen == turn("assistant", "good") + turn("user", "ok") + turn("assistant", "good") and one.rejected == one.chosen.replace("good", "bad")
+    assert [one.chosen[a:b] for a, b in one.chosen_spans] == ["good<|end|>\n"] * 2 and [one.rejected[a:b] for a, b in one.rejected_spans] == ["bad<|end|>\n"] * 2
+    assert (got[2].prompt, got[2].chosen, got[2].rejected) == ("", turn("user", "alone") + turn("unknown", ""), "") and got[2].chosen_spans == []
+    assert (got[3].prompt, got[3].chosen, got[3].rejected) == (turn("user", "a"), "", "")
+    assert got[4].prompt == "" and got[4].rejected.startswith(turn("assistant", "early")) and len(got) == 4
+    assert chat.paired(chat.preference_format(df.filter("pair_id < 0"), 0)).count() == 0
+
+
 def test_winnowing_against_brute_force(spark):
     rng = random.Random(2)
     lists = [[rng.randrange(6) for _ in range(n)] for n in (0, 1, 3, 7, 8, 9, 40)]

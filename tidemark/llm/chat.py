@@ -41,3 +41,26 @@ def preference_format(turns: DataFrame, total: int, pair: str = "pair_id", side:
     rendered = F.concat(head, F.col("text"), F.lit("<|end|>\n"))
     end = F.char_length(rendered).cast("long")
     return found.select("pair_id", "segment", "conv_id", "turn", "role", rendered.alias("rendered"), F.when(train, F.char_length(head).cast("long")).otherwise(end).alias("loss_from"), end.alias("loss_to"))
+
+
+def paired(segments: DataFrame) -> DataFrame:
+    """Segments -> one row a pair: pair_id, prompt, chosen, rejected, chosen_spans, rejected_spans.
+
+    Each text is its turns one after the other, so the prompt stands once for both
+    completions; spans (from, to) are the code points of a completion to train on.
+    A row holds its pair's conversations whole; where those may be without bound,
+    train from the segments themselves.  A side without turns of its own is empty.
+    """
+    turn = F.struct("turn", "conv_id", "rendered", "loss_from", "loss_to")
+    sides = ("prompt", "chosen", "rejected")
+    rows = segments.groupBy("pair_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("segment") == s, turn))).alias(s) for s in sides])
+    start = F.expr("named_struct('at', 0L, 'spans', cast(array() as array<struct<from:bigint,to:bigint>>))")
+
+    def step(state, x):
+        span = F.struct((state["at"] + x["loss_from"]).alias("from"), (state["at"] + x["loss_to"]).alias("to"))
+        spans = F.when(x["loss_from"] < x["loss_to"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
+        return F.struct((state["at"] + F.char_length(x["rendered"])).alias("at"), spans.alias("spans"))
+
+    texts = [F.array_join(F.transform(s, lambda x: x["rendered"]), "").alias(s) for s in sides]
+    spans = [F.aggregate(s, start, step)["spans"].alias(f"{s}_spans") for s in sides[1:]]
+    return rows.select("pair_id", *texts, *spans)
