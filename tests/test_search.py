@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tidemark.operators import diversity, passages
+from tidemark.operators import diversity, hybrid, passages
 from tidemark.plans import search
 from tidemark.sources import companyfacts
 
@@ -40,14 +40,72 @@ def test_diverse_rows_of_every_query(spark):
 
 
 def test_passages():
-    assert passages.passages(None) == passages.passages(" \n\n ") == []
+    assert passages.passages(None) == passages.passages(" \n\n ") == passages.passages("too short") == []
     assert passages.tokens("a b c") == 4
     words = [f"w{i}" for i in range(1000)]
-    text = "\n\n".join(" ".join(words[i : i + 50]) + "." for i in range(0, 1000, 50))
-    got = passages.passages(text)
-    assert len(got) > 2 and all(passages.tokens(p) <= 380 + 60 for p in got)
-    assert [w for w in words if any(w in p.replace(".", "").split() for p in got)] == words
-    assert got[1].split()[:45] == got[0].split()[-45:]
+    text = "\n\n".join(["Some Heading"] + [" ".join(words[i : i + 50]) + "." for i in range(0, 1000, 50)])
+    got = passages.passages(text, "7", "Title")
+    assert len(got) > 2 and all(p.n_tokens <= 380 + 60 and p.heading == "Some Heading" and p.item == "7" for p in got)
+    assert [w for w in words if any(w in p.text.replace(".", "").split() for p in got)] == words
+    assert got[1].text.split()[:45] == got[0].text.split()[-45:]
+    assert [p.ordinal for p in got] == list(range(len(got))) and got[0].start == 0 and got[-1].end == len(text) and got[1].start == got[0].end
+    one = " ".join(f"Sentence {i} has some words in it." for i in range(200))
+    assert all(p.text.startswith(("Sentence", "has", "some", "words", "in", "it.")) or p.ordinal for p in passages.passages(one)) and len(passages.passages(one)) > 3
+    assert list(passages.paragraphs("a\n\n\n\n b ")) == [("a", 0), ("b", 5)]
+
+
+def _filing(codes, fill=900, contents=True):
+    parts = [f"Item {c}. Something {i}" for i, c in enumerate(codes)] + ["cover " * 100] if contents else []
+    return "\n".join(parts + [f"Item {c}. Heading\n" + "word " * (fill // 5) for c in codes])
+
+
+def test_sections():
+    codes = ["1", "1A", "2", "3", "7", "7A", "8"]
+    assert [s.item for s in passages.sections(_filing(codes))] == codes
+    assert [s.item for s in passages.sections(_filing(codes, 400))] == [None]
+    assert [s.item for s in passages.sections(_filing(["1", "16", "1A", "2", "3", "7", "8"], contents=False))] == ["1", "1A", "2", "3", "7", "8"]
+    # page headers repeat an item inside its section
+    text = _filing(["1", "7"], contents=False) + "\nItem 7. Heading\n" + "more " * 300 + "\n" + _filing(["8"], contents=False)
+    assert [s.item for s in passages.sections(text)] == ["1", "7", "8"]
+    # statements are taken out of the section that holds them
+    text = _filing(["1", "7", "15"], contents=False) + "\nConsolidated Balance Sheets\n" + "row " * 300
+    assert [s.item for s in passages.sections(text)] == ["1", "7", "15", "8"]
+    # titles stand in where a body has no items
+    text = "\n".join(f"Item {c}. X" for c in codes) + "\n" + "pad " * 200 + "".join(f"\n{t}\n" + "word " * 200 for t in ("Business", "Risk Factors", "Management's Discussion and Analysis"))
+    assert [s.item for s in passages.sections(text)] == ["1", "1A", "7"]
+    assert passages.sections(None) == [(None, "Full document", "", 0, 0)] and passages.sections("plain")[0].text == "plain"
+    parts = passages.sections(_filing(codes, 6000))
+    assert [p.ordinal for p in passages.of_sections(parts)] == list(range(len(passages.of_sections(parts))))
+
+
+def test_query_side():
+    assert hybrid.expand("Leverage and debt")[1] == ["borrowings", "indebtedness", "notes payable"] and hybrid.expand("x") == ("x", [])
+    assert hybrid.priors("liquidity risk and margin") == {"1A": 1.25, "7": 1.2} and hybrid.priors("zzz") == {}
+    assert hybrid.snippet("a" * 500, ["b"]) == "a" * 320 + "..." and hybrid.snippet("short", []) == "short"
+    got = hybrid.snippet("x" * 300 + "term" + "y" * 300, ["none", "TERM"])
+    assert got.startswith("...x") and got.endswith("y...") and "term" in got and len(got) == 326
+    assert hybrid.matched("the debt Ratio of it", "RATIOS and debts") == ["debt", "Ratio"]
+
+
+def test_shares_of_issuers():
+    issuer = {i: "A" if i < 9 else "B" for i in range(12)}
+    got = hybrid.shares(list(range(8)), list(range(12)), issuer, ["a", "b"], 8)
+    assert got == [0, 1, 2, 3, 4, 9, 10, 11]
+    assert hybrid.shares([0, 9], list(range(12)), issuer, ["A", "B"], 2) == [0, 9]
+    assert hybrid.shares([0, 1], [0, 1], {0: "A", 1: "A"}, ["A", "C"], 2) == [0, 1]
+
+
+def test_hashed_vectors(spark):
+    one, two = hybrid.hashed_vector("Debt covenants tighten"), hybrid.hashed_vector("debt COVENANTS tighten the")
+    assert np.allclose(one, two) and abs(np.linalg.norm(one) - 1) < 1e-6
+    assert not hybrid.hashed_vector(None).any() and not hybrid.hashed_vector("the of").any()
+    assert search.hashed_embedding(spark, SF).count() == 200
+
+
+def test_hybrid_search(spark):
+    got = search.hybrid_search(spark, SF).orderBy("place").collect()
+    assert len(got) == 8 and [r.place for r in got] == list(range(1, 9))
+    assert all(r.dense_rank or r.lexical_rank for r in got) and {r.prior for r in got} <= {1.0, 1.25}
 
 
 def test_marginal():
@@ -61,7 +119,7 @@ def test_pool_takes_in_the_next_row(spark):
     # 30 alike rows fill the pool of k = 2; the 31st is unlike them and enters after the first pick
     rows = [(0, i, 1.0 - i / 1000, [1.0, 0.0]) for i in range(30)] + [(0, 30, 0.9, [0.0, 1.0]), (0, 31, 0.89, [0.0, -1.0])]
     hits = spark.createDataFrame(rows, "q int, i int, s double, v array<double>")
-    assert [r.i for r in diversity.choose(hits, "q", "i", "s", "v", k=2).orderBy("place").collect()] == [0, 30]
+    assert [r.i for r in diversity.choose(hits, "q", "i", "s", "v", k=2, weight=0.7).orderBy("place").collect()] == [0, 30]
 
 
 def test_query_rows(spark):

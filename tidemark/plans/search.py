@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import diversity, passages
+from tidemark.operators import diversity, hybrid, passages
 
 from . import registry
 
@@ -135,6 +135,33 @@ def passages_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.cut(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("passage")
 
 
+def split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of every whole text (the driver's texts have no items, so each is one)."""
+    return passages.split(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashed vectors of every whole text."""
+    return hybrid.embed(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+
+
+#: What hybrid_search asks.
+QUESTION = "erbl hein attion schen risk"
+
+
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight passages for QUESTION: BM25 and hashed vectors, fused, with priors, diversity and shares of two sources."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id is not null")
+    lexical = registry.run_sql(spark, sf_dir, registry._spark("WITH " + registry.BM25 + " SELECT doc_id AS id, score FROM s"))
+    vectors = hybrid.embed(docs, "doc_id", "text").withColumnRenamed("doc_id", "id")
+    asked = F.array(*[F.lit(float(x)) for x in hybrid.hashed_vector(hybrid.expand(QUESTION)[0])])
+    dense = vectors.select("id", F.round(F.aggregate(F.zip_with("embedding", asked, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x), 6).alias("score"))
+    items = F.element_at(F.array(*map(F.lit, ["1A", "7", "7A", "1", "3"])), F.pmod(F.col("doc_id"), F.lit(5)).cast("int") + 1)
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("issuer"), items.alias("item")).join(vectors, "id")
+    found = hybrid.fuse(dense, lexical, rows, QUESTION, issuers=["src0", "src1"])
+    return found.select("place", "id", F.round("fused", 6).alias("fused"), "dense_rank", "lexical_rank", "prior")
+
+
 def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight diverse rows for vector 0."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -144,7 +171,7 @@ def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: _query(name) for name in SPELLED} | {"passages_packed": passages_packed, "mmr_topk": mmr_topk, "cosine_topk_all": cosine_topk_all, "rrf_fusion_all": rrf_fusion_all, "mmr_topk_all": mmr_topk_all}
+    return {name: _query(name) for name in SPELLED} | {"passages_packed": passages_packed, "mmr_topk": mmr_topk, "cosine_topk_all": cosine_topk_all, "rrf_fusion_all": rrf_fusion_all, "mmr_topk_all": mmr_topk_all, "split_sections": split_sections, "hashed_embedding": hashed_embedding, "hybrid_search": hybrid_search}
 
 
 def oracle_sql() -> dict[str, str]:
