@@ -194,7 +194,8 @@ def _large(space: Workspace, suffixes: DataFrame) -> DataFrame:
     late = late.groupBy("class").agg(F.collect_set("back").alias("late"))
     classes = space.table(classes.select("class", "first", "n", "k.lo", "k.hi").join(late, "class", "left").filter("n > 1 or late is not null"), "late")
     space.drop(whole, firsts)
-    found = lookup(lists.select("class", "salt", "at"), classes, "class", "n", total, "salt").filter("first is not null")
+    dealt = lists.select("class", "at", F.xxhash64("class", "salt").alias("deal"))  # by list, not by salt alone: one salt stands in every class
+    found = lookup(dealt, classes, "class", "n", total, "deal").filter("first is not null")
 
     def starts(m):
         is_first = (m["doc_id"] == F.col("first.doc_id")) & (m["pos"] == F.col("first.pos"))
