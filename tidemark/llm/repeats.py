@@ -24,7 +24,7 @@ from .workspace import Workspace, lookup
 
 #: Largest group, in suffixes, of which trees are built in memory.
 GROUP_ROWS = 4096
-#: About so many members of a class of equal suffixes stand in one list.
+#: About so many suffixes of large groups, of whole documents, have one salt.
 LIST_ROWS = 4096
 #: Suffixes of whole groups that one tree holds at a time (several groups share it).
 TREE_ROWS = 1 << 15
@@ -139,37 +139,43 @@ def _tree_repeats(prefix, doc, pos, lo, hi, before, after) -> tuple[np.ndarray,
     return np.concatenate([np.zeros(0, np.int64), *docs]), np.concatenate([np.zeros(0, np.int32), *starts])
 
 
+def _whole_groups(batches, key: str, rows: int):
+    """Tables of ``rows`` rows or a little more that hold whole groups, from batches in order of ``key``."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = table.column(key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+            held, n = table.slice(cut).to_batches(), n - cut
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _by_document(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """One row a document with all its starts."""
+    order = np.argsort(doc, kind="stable")
+    ids, first = np.unique(doc[order], return_index=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(start[order].astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["doc_id", "starts"])
+
+
 def _grown(suffixes: DataFrame, length: int) -> DataFrame:
     """(doc_id, starts) of repeats, from partitions that hold whole groups in order of prefix."""
     reach = length - length // 2
 
-    def solve(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        plain = [table.column(c).to_numpy() for c in ("prefix", "doc_id", "pos", "lo", "hi")]
-        sides = [np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64).reshape(-1, reach) for c in ("before", "after")]
-        d, p = _tree_repeats(*plain, *sides)
-        order = np.argsort(d, kind="stable")
-        d, first = np.unique(d[order], return_index=True)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(p[order].astype(np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), lists], names=["doc_id", "starts"])
-
     def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            n += batch.num_rows
-            if n < TREE_ROWS:
-                continue
-            table = pa.Table.from_batches(held)
-            prefix = table.column("prefix").to_numpy()
-            cut = int(np.searchsorted(prefix, prefix[-1]))  # the last group may go on
-            if cut:
-                yield solve(table.slice(0, cut))
-                held, n = table.slice(cut).to_batches(), n - cut
-        if n:
-            yield solve(pa.Table.from_batches(held))
+        for table in _whole_groups(batches, "prefix", TREE_ROWS):
+            plain = [table.column(c).to_numpy() for c in ("prefix", "doc_id", "pos", "lo", "hi")]
+            sides = [np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64).reshape(-1, reach) for c in ("before", "after")]
+            yield _by_document(*_tree_repeats(*plain, *sides))
 
     return suffixes.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "doc_id long, starts array<int>")
 
@@ -177,8 +183,9 @@ def _grown(suffixes: DataFrame, length: int) -> DataFrame:
 def _large(space: Workspace, suffixes: DataFrame) -> DataFrame:
     """(doc_id, starts) of repeats in groups beyond memory; ``suffixes`` is a table.
 
-    Members of a class are gathered in lists of about LIST_ROWS before anything is
-    joined, so joins see lists and classes, not members.
+    Members of a class are gathered in lists by a salt of their document before
+    anything is joined, so joins see lists and classes, not members.  All lists of a
+    salt, about LIST_ROWS members, then meet, and give one row a document.
     """
     total = suffixes.count()
     key = F.concat_ws(":", "prefix", "whole", "lo", "hi").alias("class")
@@ -194,7 +201,7 @@ def _large(space: Workspace, suffixes: DataFrame) -> DataFrame:
     late = late.groupBy("class").agg(F.collect_set("back").alias("late"))
     classes = space.table(classes.select("class", "first", "n", "k.lo", "k.hi").join(late, "class", "left").filter("n > 1 or late is not null"), "late")
     space.drop(whole, firsts)
-    dealt = lists.select("class", "at", F.xxhash64("class", "salt").alias("deal"))  # by list, not by salt alone: one salt stands in every class
+    dealt = lists.select("class", "salt", "at", F.xxhash64("class", "salt").alias("deal"))  # by list, not by salt alone: one salt stands in every class
     found = lookup(dealt, classes, "class", "n", total, "deal").filter("first is not null")
 
     def starts(m):
@@ -202,7 +209,14 @@ def _large(space: Workspace, suffixes: DataFrame) -> DataFrame:
         backs = F.when(is_first, F.coalesce("late", F.expr("cast(array() as array<int>)"))).otherwise(F.sequence("lo", "hi"))
         return F.struct(m["doc_id"].alias("doc_id"), F.transform(backs, lambda b: m["pos"] - b).alias("starts"))
 
-    return found.select(F.inline(F.transform("at", starts)))
+    def run(batches):
+        for table in _whole_groups(batches, "salt", 1):
+            members = table.column("members").combine_chunks().flatten()
+            runs = members.field("starts")
+            yield _by_document(np.repeat(members.field("doc_id").to_numpy(), runs.value_lengths().to_numpy()), runs.flatten().to_numpy())
+
+    met = found.repartition("salt").sortWithinPartitions("salt").select("salt", F.transform("at", starts).alias("members"))
+    return met.mapInArrow(run, "doc_id long, starts array<int>")
 
 
 def repeated_runs(space: Workspace, docs: DataFrame, length: int) -> DataFrame:
