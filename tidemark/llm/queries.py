@@ -77,15 +77,19 @@ def op6_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = winnow.with_next(docs, "doc_id", "text", "next_text")
+    rows = winnow.with_next(docs, "doc_id", "text", "next_text", winnow.winnow(winnow.gram_hashes(F.col("text"))), "marks")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "text", "next_text")
-    # one array of three texts, so that each text's marks are made once
-    marks = F.transform(F.array("text", "edited", "next_text"), lambda x: winnow.winnow(winnow.gram_hashes(x)))
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.transform(F.array(marks), lambda m: F.struct(winnow.as_string(m[0]).alias("fingerprint"), winnow.as_string(m[1]).alias("edited_fingerprint"), winnow.likeness(m[0]["hash"], m[1]["hash"]).alias("near_edited"), winnow.likeness(m[0]["hash"], m[2]["hash"]).alias("near_next"))).alias("m"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", F.inline("m"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "marks", "next_marks")
+    mine, following = F.col("marks"), F.col("next_marks")
+
+    def result(e):
+        return F.struct(winnow.as_string(mine).alias("fingerprint"), winnow.as_string(e).alias("edited_fingerprint"), winnow.likeness(mine["hash"], e["hash"]).alias("near_edited"), winnow.likeness(mine["hash"], following["hash"]).alias("near_next"))
+
+    # the edited text's marks are read twice, so they are bound once
+    bound = F.transform(F.array(winnow.winnow(winnow.gram_hashes(F.col("edited")))), result)
+    return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.inline(bound))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
