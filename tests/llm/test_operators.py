@@ -248,6 +248,16 @@ def test_winnowing_meets_shared_runs(spark):
     assert [r.n for r in got] == [max(len(r.a) - winnow.GRAM + 1, min(len(r.a), 1)) for r in got]
 
 
+def test_gram_hashes_against_brute_force(spark):
+    import xxhash
+
+    texts = ["ab\ncd\r\n ef gh\x00ij klmnopqrstuvw", "\u00e9\U0001F389" * 11, "", None, *("x" * n for n in (1, 7, 8, 15, 16, 17, 22, 23, 24, 40))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in df.select(F.coalesce("text", F.lit("")).alias("t"), winnow.gram_hashes(df.text).alias("h")).collect():
+        grams = [r.t[i : i + winnow.GRAM] for i in range(max(1, len(r.t) - winnow.GRAM + 1))] if r.t else []
+        assert [h % 2**64 for h in r.h] == [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
+
+
 def test_next_text(spark):
     df = spark.createDataFrame([(i * 7, f"t{i}") for i in range(50)], "doc_id long, text string")
     got = {r.doc_id: r.nx for r in winnow.with_next(df, "doc_id", "text", "nx").collect()}
