@@ -7,6 +7,8 @@ inside a UTF-8 sequence, so words can be found on bytes.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -15,9 +17,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
-_PIECE = 1 << 18
+#: Words of more bytes than this are hashed one by one by blake2b.
+_LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,17 +28,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        out = np.full(n, base, dtype=U)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-
-_POW, _INV = _powers(_BASE, _PIECE), _powers(_INVERSE, _PIECE)
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
-
-
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the offsets (one more than rows) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -87,29 +77,70 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
+    def _chunks(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The up to eight bytes from each place on as a number; ``left`` bytes of each count."""
+        if not hasattr(self, "_padded"):
+            self._padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        loads = np.ndarray((len(self.data) + 1,), "<u8", self._padded, strides=(1,))
+        return loads[at] & (~U(0) >> (U(8) * (U(8) - np.minimum(left, 8).astype(U))))
+
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial over its bytes, then mixed with its length."""
+        """A 64-bit hash of each word: its chunks of eight bytes, mixed in one after the other.
+
+        No sum over the bytes: polynomials modulo 2**64 agree on pairs of long words
+        whatever their base.
+        """
         with np.errstate(over="ignore"):
-            low, high = self._prefix(self.starts), self._prefix(self.ends)
-            scale = _INV[self.starts % _PIECE] * self._far(_INVERSE)[self.starts // _PIECE]
-            return mix((high - low) * scale + (self.ends - self.starts).astype(U) * U(0xA0761D6478BD642F))
-
-    def _far(self, base: np.uint64) -> np.ndarray:
-        step = U(pow(int(base), _PIECE, 1 << 64))
-        return _powers(step, len(self.data) // _PIECE + 1)
-
-    def _prefix(self, at: np.ndarray) -> np.ndarray:
-        """Polynomial prefix sums over the bytes, at these (ascending) positions only."""
-        out, far, carry, done = np.empty(len(at), dtype=U), self._far(_BASE), U(0), 0
-        for k in range(len(self.data) // _PIECE + 1):
-            piece = self.data[k * _PIECE : (k + 1) * _PIECE]
-            sums = np.zeros(len(piece) + 1, dtype=U)
-            np.cumsum(_BYTE[piece] * _POW[: len(piece)], out=sums[1:])
-            sums = sums * far[k] + carry
-            upto = int(np.searchsorted(at, (k + 1) * _PIECE, side="left"))
-            out[done:upto] = sums[at[done:upto] - k * _PIECE]
-            carry, done = sums[-1], upto
-        return out
+            size = self.ends - self.starts
+            out = mix(size.astype(U) * U(0xA0761D6478BD642F))
+            rows, done = np.flatnonzero(size <= _LONG), 0
+            while len(rows):
+                out[rows] = mix(out[rows] ^ (self._chunks(self.starts[rows] + done, size[rows] - done) * U(0x9E3779B97F4A7C15)))
+                done += 8
+                rows = rows[size[rows] > done]
+            for i in np.flatnonzero(size > _LONG).tolist():
+                out[i] = int.from_bytes(hashlib.blake2b(self.data[self.starts[i] : self.ends[i]], digest_size=8).digest(), "little")
+            return out
+
+    def exact_ids(self, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the words ``at``, equal where their bytes are: by hash, each then compared with the first of its hash."""
+        _, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
+        other, size = at[first[ids]], self.ends[at] - self.starts[at]
+        same, done, rows = size == self.ends[other] - self.starts[other], 0, np.arange(len(at))
+        rows = rows[same & (at != other)]
+        while len(rows):
+            left = size[rows] - done
+            equal = self._chunks(self.starts[at[rows]] + done, left) == self._chunks(self.starts[other[rows]] + done, left)
+            same[rows[~equal]] = False
+            done += 8
+            rows = rows[equal & (size[rows] > done)]
+        if not same.all():  # never met: words that only share a hash get numbers of their own
+            known: dict = {}
+            raw = self.data.tobytes()
+            return np.array([known.setdefault(raw[self.starts[i] : self.ends[i]], len(known)) for i in at.tolist()], np.int64)
+        return ids
+
+    def joined(self, keep: np.ndarray) -> pa.Array:
+        """The kept words of each row, joined by one space; ``keep`` is a mask over all words."""
+        kept = np.flatnonzero(keep)
+        row = np.searchsorted(self.first, kept, side="right") - 1
+        inner = np.ones(len(kept), bool)  # another kept word of the row follows, so a white-space byte does too
+        if len(kept):
+            inner[:-1] = row[1:] == row[:-1]
+            inner[-1] = False
+        cover = np.zeros(len(self.data) + 1, np.int8)
+        cover[self.starts[kept]] += 1
+        cover[self.ends[kept]] -= 1
+        mask = np.cumsum(cover[:-1], dtype=np.int8).astype(bool)
+        gaps = self.ends[kept[inner]]
+        mask[gaps] = True
+        data = self.data.copy()
+        data[gaps] = 0x20
+        data = data[mask]
+        sizes = np.zeros(len(self.first) - 1, np.int64)
+        np.add.at(sizes, row, self.ends[kept] - self.starts[kept] + inner)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(data))
 
     def sequence_hashes(self, length: int, hashes: np.ndarray) -> np.ndarray:
         """Fingerprint of the ``length`` words from each word on (meaningful only inside a row)."""
