@@ -1,4 +1,4 @@
-"""The queries of the ten training-data operators, over whole tables, and SQL for those that SQL can express."""
+"""The queries of the training-data operators, over whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, idfiles, neardup, repeats, severity, warc, winnow
+from . import bpe, chat, decontaminate, idfiles, neardup, periodic, repeats, severity, warc, winnow
 from .workspace import Workspace
 
 
@@ -151,8 +151,34 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 """
 
 
+def looped_text(doc_id: F.Column, text: F.Column) -> F.Column:
+    """A tenth of the texts, by id, loop from some word on; the others stay as they are."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def loop(words):
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.when(n > 0, F.array_join(periodic.repeat_from(words, a, p, n), " ")).otherwise(F.lit(""))
+
+    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"))
+    return F.when((h % 10 == 0) & text.isNotNull(), F.transform(F.array(words), loop)[0]).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least six words and four periods of every text, a tenth of which are made to loop, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", looped_text(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.find_runs(docs, min_length=6, min_exponent=4)
+    runs = F.col("runs")
+    best = F.aggregate(runs, F.get(runs, F.lit(0)), lambda a, x: F.when(x["length"] * a["period"] > a["length"] * x["period"], x).otherwise(a))
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    rows = found.select("doc_id", F.size(runs).cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_repeated_runs, op3_preference_format, op4_minhash_components, op5_decontaminate, op6_range_coder, op7_winnowing, op8_severity, op9_token_counts, op10_warc_zstd)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_repeated_runs, op3_preference_format, op4_minhash_components, op5_decontaminate, op6_range_coder, op7_winnowing, op8_severity, op9_token_counts, op10_warc_zstd, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
