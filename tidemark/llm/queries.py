@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, idfiles, neardup, periodic, repeats, severity, warc, winnow
+from . import bpe, chat, decontaminate, idfiles, neardup, packing, periodic, repeats, severity, warc, winnow
 from .workspace import Workspace
 
 
@@ -151,6 +151,12 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 """
 
 
+def op12_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 ids, each with its source's share of all ids."""
+    pieces = packing.pack(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), window=1024)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
 def looped_text(doc_id: F.Column, text: F.Column) -> F.Column:
     """A tenth of the texts, by id, loop from some word on; the others stay as they are."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
@@ -178,7 +184,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_repeated_runs, op3_preference_format, op4_minhash_components, op5_decontaminate, op6_range_coder, op7_winnowing, op8_severity, op9_token_counts, op10_warc_zstd, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_repeated_runs, op3_preference_format, op4_minhash_components, op5_decontaminate, op6_range_coder, op7_winnowing, op8_severity, op9_token_counts, op10_warc_zstd, op12_mixture_packing, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
