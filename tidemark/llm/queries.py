@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, idfiles, neardup, packing, periodic, repeats, severity, warc, winnow
+from . import balls, bpe, chat, decontaminate, idfiles, neardup, packing, periodic, repeats, severity, warc, winnow
 from .workspace import Workspace
 
 
@@ -151,6 +151,37 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 """
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all whole vectors after three rounds from 16 of them, with the sums of squared distances."""
+    rows, found = balls.ball_kmeans(spark, table(spark, sf_dir, "embeddings"), "vec_id", "embedding", width=64, k=16, rounds=3, scale=64, seed=1)
+    each = [(i, found.inertia[i], found.digest(i)) for i in range(len(found.centroids))]
+    figures = spark.createDataFrame(each, "cluster int, cluster_inertia long, centroid_sha256 string")  # one row a cluster
+    return rows.join(F.broadcast(figures), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", F.lit(sum(found.inertia)).cast("long").alias("inertia"), "centroid_sha256")
+
+
+def _kmeans_sql(k: int, rounds: int) -> str:
+    """Rounds of assignment and of floors of means as common table expressions."""
+    apart = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = [
+        "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS p FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, p FROM v QUALIFY c < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT vec_id, any_value(v.p) AS p, min(struct_pack(d := {apart.format('v.p', f'c{i}.p')}, c := c)) AS best FROM v, c{i} GROUP BY vec_id)")
+        if i < rounds:
+            parts.append(f"e{i} AS (SELECT best.c AS c, unnest(p) AS x, unnest(range(64)) AS i FROM a{i})")
+            parts.append(f"m{i} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM e{i} GROUP BY c, i)")
+            parts.append(f"f{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS p FROM m{i} GROUP BY c)")
+            parts.append(f"c{i + 1} AS (SELECT c{i}.c, coalesce(f{i}.p, c{i}.p) AS p FROM c{i} LEFT JOIN f{i} USING (c))")
+    last = f"""SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.p, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = best.c"""
+    return "WITH " + ",\n".join(parts) + "\n" + last
+
+
+OP11_SQL = _kmeans_sql(16, 3)
+
+
 def op12_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 ids, each with its source's share of all ids."""
     pieces = packing.pack(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), window=1024)
@@ -184,8 +215,8 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_repeated_runs, op3_preference_format, op4_minhash_components, op5_decontaminate, op6_range_coder, op7_winnowing, op8_severity, op9_token_counts, op10_warc_zstd, op12_mixture_packing, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_repeated_runs, op3_preference_format, op4_minhash_components, op5_decontaminate, op6_range_coder, op7_winnowing, op8_severity, op9_token_counts, op10_warc_zstd, op11_ball_kmeans, op12_mixture_packing, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_repeated_runs": OP2_SQL, "op4_minhash_components": OP4_SQL, "op3_preference_format": OP3_SQL, "op10_warc_zstd": OP10_SQL}
+    return {"op2_repeated_runs": OP2_SQL, "op4_minhash_components": OP4_SQL, "op3_preference_format": OP3_SQL, "op10_warc_zstd": OP10_SQL, "op11_ball_kmeans": OP11_SQL}
