@@ -24,6 +24,8 @@ from .idfiles import id_encoder
 from .words import slices
 from .workspace import Workspace
 
+#: Characters of stretches that an encoder remembers.
+MEMORY = 6 << 20
 #: Windows of a block, the unit that one step packs in memory.
 BLOCK_WINDOWS = 256
 #: Most queues; smaller sources share the last one.
@@ -80,30 +82,31 @@ def capacities(n: int, window: int) -> list[int]:
     return [window] * (n // window) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def deal(sizes: np.ndarray, weights: np.ndarray, deficits: np.ndarray, capacity: list[int]) -> np.ndarray:
+def deal(sizes: np.ndarray, weights: np.ndarray, deficits: np.ndarray, capacity: list[int], least: int = 1) -> np.ndarray:
     """Ids that each queue gives to each sequence (sequences x queues), by deficit round-robin.
 
-    ``sizes`` sum to the capacities, so each sequence is filled and all queues end empty.
+    Each sequence adds to every queue's deficit its share of the room.  Those owed most
+    come first, each with what it is owed but ``least`` ids at least, until the room is
+    full; the others wait with their deficits.  ``sizes`` sum to the capacities, so
+    each sequence is filled and all queues end empty.
     """
-    left, debt, order = sizes.astype(np.int64), deficits.astype(np.float64), np.arange(len(sizes))
-    out = np.zeros((len(capacity), len(sizes)), np.int64)
+    left, out = sizes.tolist(), np.zeros((len(capacity), len(sizes)), np.int64)
+    debt, live, total = deficits.astype(np.float64), np.ones(len(sizes), bool), float(weights.sum())
     for i, room in enumerate(capacity):
-        live = left > 0
-        debt[~live] = 0.0  # an empty queue keeps no claim
-        debt += np.where(live, weights, 0) * (room / weights[live].sum())
-        take = np.minimum(left, np.maximum(np.floor(debt), 0).astype(np.int64))
-        turn = np.lexsort((order, take - debt))  # those owed most come first
-        before = np.cumsum(take[turn]) - take[turn]
-        take[turn] = np.clip(room - before, 0, take[turn])
-        more = room - int(take.sum())
-        while more > 0:  # one id in turn from each that has some
-            able = turn[(left > take)[turn]][:more]
-            each = max(1, min(more // len(able), int((left - take)[able].min())))
-            take[able] += each
-            more -= each * len(able)
-        left -= take
-        debt -= take
-        out[i] = take
+        debt += weights * (room / total)
+        while room:
+            for q in np.argsort(-debt, kind="stable").tolist():
+                n = min(left[q], room, max(int(debt[q]), least)) if left[q] else 0
+                out[i, q] += n
+                debt[q] -= n
+                left[q] -= n
+                room -= n
+                if n and not left[q]:  # an empty queue has no share and keeps no claim
+                    live[q] = False
+                    weights = np.where(live, weights, 0.0)
+                    total, debt[q] = float(weights.sum()), -np.inf
+                if not room:
+                    break
     return out
 
 
@@ -117,7 +120,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_column: str, column: str, s
         part, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
             for piece in slices(batch, "text", 1 << 20):
-                flat, counts = id_encoder(vocabulary_path).encode([t or "" for t in piece.column("text").to_pylist()])
+                flat, counts = id_encoder(vocabulary_path, MEMORY).encode([t or "" for t in piece.column("text").to_pylist()])
                 ids = np.full(len(flat) + len(counts), end_id, f"<u{width}")
                 ids[np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts)] = flat
                 counts = counts + 1
@@ -210,7 +213,7 @@ def _whole_blocks(batches):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _pack_block(table: pa.Table, mixture: Mixture, window: int, block: int, width: int) -> pa.RecordBatch:
+def _pack_block(table: pa.Table, mixture: Mixture, window: int, block: int, width: int, least: int) -> pa.RecordBatch:
     number = table.column("block")[0].as_py()
     queue, place = table.column("queue").to_numpy(), table.column("place").to_numpy()
     texts = table.column("ids").to_pylist()
@@ -218,7 +221,7 @@ def _pack_block(table: pa.Table, mixture: Mixture, window: int, block: int, widt
     queues, head = np.unique(queue, return_index=True)  # rows are in order of queue and place
     sizes = np.add.reduceat(size, head)
     capacity = capacities(int(sizes.sum()), window)
-    taken = deal(sizes, mixture.weights[queues], mixture.due(number * block, queues) - place[head], capacity)
+    taken = deal(sizes, mixture.weights[queues], mixture.due(number * block, queues) - place[head], capacity, least)
     upto = np.concatenate([np.zeros((1, len(queues)), np.int64), np.cumsum(taken, axis=0)])
     seat = np.cumsum(taken, axis=1) - taken  # where a queue's ids begin in a sequence
     rows, starts, ends, sequence, offset = [], [], [], [], []
@@ -243,7 +246,7 @@ def _pack_block(table: pa.Table, mixture: Mixture, window: int, block: int, widt
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "doc_tokens", "queue", "sequence_id", "offset", "ids"])
 
 
-def pack(spark: SparkSession, docs: DataFrame, vocabulary_path: str, window: int = 1024, weights: dict | None = None, end_id: int = 0, id_column: str = "doc_id", column: str = "text", source: str | None = "source", space: Workspace | None = None) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, vocabulary_path: str, window: int = 1024, weights: dict | None = None, least: int = 128, end_id: int = 0, id_column: str = "doc_id", column: str = "text", source: str | None = "source", space: Workspace | None = None) -> DataFrame:
     """Pieces of all documents, packed into sequences of ``window`` ids.
 
     Columns: doc_id, start (ids of its document before the piece), length,
@@ -253,6 +256,10 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary_path: str, window: int
     piece.  All sequences are full but for those of the last rest, whose sizes are
     powers of two.
 
+    A source that is owed less than ``least`` ids waits for a later window while others
+    are owed more, so that documents are not cut smaller without need; with 1 every
+    window has the target proportions to within one id for each source.
+
     ``weights`` are the target proportions of sources (one of None for rows
     without a source); by default each gets its share of all ids, so that all end
     together.  Where a source has run out the others share its part, in proportion.
@@ -276,7 +283,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary_path: str, window: int
 
     def run(batches):
         for table in _whole_blocks(batches):
-            yield _pack_block(table, mixture, window, block, width)
+            yield _pack_block(table, mixture, window, block, width, least)
 
     packed = cut.mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, queue int, sequence_id long, offset long, ids binary")
     names = spark.createDataFrame([(i, k[1:] if k[0] == "=" else None) for i, k in enumerate(keys)], "queue int, source string")  # under MOST_QUEUES rows
