@@ -53,7 +53,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = Workspace(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, held = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = space.table(stage(spark, docs, sf_dir), name)
+        docs, former = space.table(stage(spark, docs, sf_dir), name), held
+        if former is not None:
+            space.drop(former)  # its reader has been written
+        held = docs
     return docs
