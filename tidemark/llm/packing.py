@@ -25,7 +25,7 @@ from .words import slices
 from .workspace import Workspace
 
 #: Characters of stretches that an encoder remembers.
-MEMORY = 6 << 20
+MEMORY = 10 << 20
 #: Windows of a block, the unit that one step packs in memory.
 BLOCK_WINDOWS = 256
 #: Most queues; smaller sources share the last one.
