@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import diversity, hybrid, passages
 from tidemark.plans import search
@@ -81,13 +82,20 @@ def test_sections():
 def test_query_side():
     assert hybrid.expand("Leverage and debt")[1] == ["borrowings", "indebtedness", "notes payable"] and hybrid.expand("x") == ("x", [])
     assert hybrid.priors("liquidity risk and margin") == {"1A": 1.25, "7": 1.2} and hybrid.priors("zzz") == {}
-    assert hybrid.snippet("a" * 500, ["b"]) == "a" * 320 + "..." and hybrid.snippet("short", []) == "short"
-    got = hybrid.snippet("x" * 300 + "term" + "y" * 300, ["none", "TERM"])
-    assert got.startswith("...x") and got.endswith("y...") and "term" in got and len(got) == 326
     assert hybrid.matched("the debt Ratio of it", "RATIOS and debts") == ["debt", "Ratio"]
 
 
+def test_snippets(spark):
+    rows = [("a" * 500,), ("short",), ("x" * 300 + "term" + "y" * 300,), (" b " * 40,), (None,)]
+    docs = spark.createDataFrame(rows, "text string").coalesce(1)
+    got = [r.s for r in docs.select(hybrid.snippet(F.col("text"), ["none", "TERM"]).alias("s")).collect()]
+    assert got[0] == "a" * 320 + "..." and got[1] == "short" and got[3] == " b ".join([""] * 41).strip() and got[4] == ""
+    assert got[2].startswith("...x") and got[2].endswith("y...") and "term" in got[2] and len(got[2]) == 326
+    assert [r.s for r in docs.limit(2).select(hybrid.snippet(F.col("text"), []).alias("s")).collect()] == got[:2]
+
+
 def test_shares_of_issuers():
+    assert hybrid.shares([0, 1, 2, 3, 4, 5, 6, 7], list(range(14)), {i: "AAAABBBBCCCDDD"[i] for i in range(14)}, ["c", "D", "a", "b"], 8) == [0, 1, 4, 5, 8, 9, 11, 12]
     issuer = {i: "A" if i < 9 else "B" for i in range(12)}
     got = hybrid.shares(list(range(8)), list(range(12)), issuer, ["a", "b"], 8)
     assert got == [0, 1, 2, 3, 4, 9, 10, 11]
