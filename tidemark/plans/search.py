@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -69,15 +67,6 @@ def _cosine_all() -> str:
     return f"SELECT query_id, id AS vec_id, score FROM ({_DENSE_ALL}) d WHERE rk <= 40"
 
 
-def _fusion_all(engine: str, ranked: str) -> str:
-    """``_fusion`` for each query, from its ranked rows; the words searched for are the same."""
-    head = _fusion(engine).split(", dense AS (", 1)[0]
-    ll = "ll AS (SELECT id, rk FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rk FROM (SELECT doc_id AS id, round(score, 5) AS score FROM s) b WHERE score > 0) z WHERE rk <= 100)"
-    legs = f"ranked AS ({ranked}), dl AS (SELECT query_id, id, rk FROM ranked WHERE score > 0 AND rk <= 100), qs AS (SELECT DISTINCT query_id FROM ranked), {ll}, lq AS (SELECT query_id, id, rk FROM qs CROSS JOIN ll)"
-    fused = "SELECT coalesce(dl.query_id, lq.query_id) AS query_id, coalesce(dl.id, lq.id) AS id, dl.rk AS dense_rank, lq.rk AS lexical_rank, round(coalesce(0.2e0 / (60 + dl.rk), 0e0) + coalesce(0.8e0 / (60 + lq.rk), 0e0), 8) AS fused FROM dl FULL JOIN lq ON dl.query_id = lq.query_id AND dl.id = lq.id"
-    return f"{head}, {legs}, f AS ({fused}) SELECT query_id, id, dense_rank, lexical_rank, fused FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) AS place FROM f) y WHERE place <= 40"
-
-
 def dense_all(rows: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rk): the ``k`` best of all rows for every query, by blocks of queries and of rows."""
     rows = rows.filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
@@ -115,15 +104,6 @@ def cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_all(_vectors(spark, sf_dir), 40).select("query_id", F.col("id").alias("vec_id"), "score")
 
 
-def rrf_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fused search for every row whose id QUERY_STEP divides."""
-    hits = f"dense_hits_{uuid.uuid4().hex}"
-    dense_all(_vectors(spark, sf_dir), 100).createOrReplaceTempView(hits)
-    out = registry.run_sql(spark, sf_dir, _fusion_all("spark", f"SELECT query_id, id, score, rk FROM {hits}"))
-    spark.catalog.dropTempView(hits)
-    return out
-
-
 def mmr_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight diverse rows for every row whose id QUERY_STEP divides."""
     rows = _vectors(spark, sf_dir)
@@ -171,8 +151,8 @@ def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: _query(name) for name in SPELLED} | {"passages_packed": passages_packed, "mmr_topk": mmr_topk, "cosine_topk_all": cosine_topk_all, "rrf_fusion_all": rrf_fusion_all, "mmr_topk_all": mmr_topk_all, "split_sections": split_sections, "hashed_embedding": hashed_embedding, "hybrid_search": hybrid_search}
+    return {name: _query(name) for name in SPELLED} | {"passages_packed": passages_packed, "mmr_topk": mmr_topk, "cosine_topk_all": cosine_topk_all, "mmr_topk_all": mmr_topk_all, "split_sections": split_sections, "hashed_embedding": hashed_embedding, "hybrid_search": hybrid_search}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f("duck") for name, f in SPELLED.items()} | {"cosine_topk_all": _cosine_all(), "rrf_fusion_all": _fusion_all("duck", _DENSE_ALL)}
+    return {name: f("duck") for name, f in SPELLED.items()} | {"cosine_topk_all": _cosine_all()}
