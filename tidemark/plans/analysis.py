@@ -87,8 +87,6 @@ SQL: dict[str, str] = {
     "paragraph_explode": "SELECT doc_id, ordinal, length(p) AS chars FROM (SELECT doc_id, generate_subscripts(ps, 1) - 1 AS ordinal, unnest(ps) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents) z) y WHERE trim(p) <> ''",
     "snippet": "SELECT doc_id, CASE WHEN at = 0 THEN trim(substr(text, 1, 320)) || CASE WHEN length(text) > 320 THEN '...' ELSE '' END ELSE CASE WHEN at > 107 THEN '...' ELSE '' END || trim(substr(text, greatest(at - 106, 1), least(length(text), greatest(at - 107, 0) + 320) - greatest(at - 107, 0))) || CASE WHEN greatest(at - 107, 0) + 320 < length(text) THEN '...' ELSE '' END END AS snippet FROM (SELECT doc_id, text, coalesce(nullif(instr(lower(text), 'ation'), 0), nullif(instr(lower(text), 'ment'), 0), 0) AS at FROM documents WHERE text IS NOT NULL) z".replace(" AS at ", " AS spot ").replace("at - ", "spot - ").replace("at = 0", "spot = 0").replace("at > 107", "spot > 107"),
     "matched_terms": "SELECT doc_id, " + " || ".join(f"CASE WHEN contains(lower(text), '{w}') THEN '{w},' ELSE '' END" for w in ("ation", "ment", "cion", "schaft")) + " AS terms FROM documents",
-    "lineage_recursive": "WITH RECURSIVE edges(parent, child) AS (VALUES ('net_debt_to_ebitda', 'net_debt'), ('net_debt_to_ebitda', 'ebitda'), ('net_debt', 'total_debt'), ('net_debt', 'cash_and_equivalents'), ('total_debt', 'short_term_debt'), ('total_debt', 'long_term_debt'), ('ebitda', 'operating_income'), ('ebitda', 'depreciation_amortization'), ('free_cash_flow', 'operating_cash_flow'), ('free_cash_flow', 'capex'), ('fcf_margin', 'free_cash_flow'), ('fcf_margin', 'revenue')), walk(root, node, depth) AS (SELECT DISTINCT parent, parent, 0 FROM edges UNION ALL SELECT w.root, e.child, w.depth + 1 FROM walk w JOIN edges e ON e.parent = w.node WHERE w.depth < 6) SELECT root, node, CAST(min(depth) AS BIGINT) AS depth, NOT EXISTS (SELECT 1 FROM edges e WHERE e.parent = walk.node) AS leaf FROM walk GROUP BY root, node".replace(", NOT EXISTS (SELECT 1 FROM edges e WHERE e.parent = walk.node) AS leaf FROM walk GROUP BY root, node", ", count(*) AS paths FROM walk GROUP BY root, node"),
-    "lineage_leaves": "WITH RECURSIVE edges(parent, child) AS (VALUES ('net_debt', 'total_debt'), ('net_debt', 'cash_and_equivalents'), ('total_debt', 'short_term_debt'), ('total_debt', 'long_term_debt'), ('ebitda', 'operating_income'), ('ebitda', 'depreciation_amortization')), walk(root, node, depth) AS (SELECT DISTINCT parent, parent, 0 FROM edges UNION ALL SELECT w.root, e.child, w.depth + 1 FROM walk w JOIN edges e ON e.parent = w.node WHERE w.depth < 6) SELECT DISTINCT root, node AS leaf FROM walk LEFT JOIN edges ON edges.parent = walk.node WHERE edges.child IS NULL",
 }
 
 #: Spark's text for DuckDB's, in this order, after those of the registry.
