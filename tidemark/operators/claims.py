@@ -47,6 +47,8 @@ PHRASES = {
     "debt_to_capital": ["debt to capital", "debt/capital"],
 }
 LABEL_STOP = ["the", "of", "and", "to", "a", "in", "per", "over", "from", "change", "total", "ttm", "fy", "q1", "q2", "q3", "q4", "window", "score"]
+# Fewest and most words of a quoted phrase, and its least characters.
+PHRASE_WORDS, PHRASE_CHARS = (4, 6), 12
 # Per cent within which a claim is verified, and within which it contradicts; affinity that names a metric.
 VERIFIED, NEAR, NAMED = 0.5, 25.0, 2
 _COMPILED = [(kind, re.compile(p, flags)) for kind, p, flags in PATTERNS]
@@ -150,35 +152,59 @@ def verify(found: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
     return best.select(*found.columns, status.alias("status"), F.when(kept, F.col("__b.key")).alias("matched_key"), F.when(kept, F.col("__b.value")).alias("matched_value"), F.when(kept, off).alias("deviation"))
 
 
-def quoted(context: str, passage: str, token: str, least: int = 4) -> bool:
-    """Whether ``least`` to six words beside the number stand in the passage too."""
-    at = context.find(token)
-    if at < 0:
-        return False
-    before, after = context[:at].split(), context[at + len(token) :].split()
-    for n in range(6, least - 1, -1):
-        for phrase in ((" ".join(after[:n]) if len(after) >= n else ""), (" ".join(before[-n:]) if len(before) >= n else "")):
-            phrase = phrase.strip(" .,;:")
-            if len(phrase) >= 12 and phrase in passage:
-                return True
-    return False
+def _flat(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, " "), lambda w: w != "")
+
+
+def ledger(seen: DataFrame, key: str, chunk: str, turn: str) -> DataFrame:
+    """(key, chunk, label): each chunk that a text was given, once, as C1, C2, ... in the order in which it was first seen."""
+    first = seen.groupBy(key, chunk).agg(F.min(turn).alias("__t"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("__t", chunk))
+    return first.select(key, chunk, F.concat(F.lit("C"), place.cast("string")).alias("label"))
+
+
+def _phrases(before: Column, after: Column) -> Column:
+    """The shortest phrase of PHRASE_WORDS words or more on each side of a number that is long enough; longer ones hold it."""
+
+    def shortest(words: Column, take) -> Column:
+        sizes = [(n, F.regexp_replace(F.array_join(take(words, n), " "), r"^[ .,;:]+|[ .,;:]+$", "")) for n in range(PHRASE_WORDS[0], PHRASE_WORDS[1] + 1)]
+        return F.coalesce(*[F.when((F.size(words) >= n) & (F.length(p) >= PHRASE_CHARS), p) for n, p in sizes])
+
+    right = shortest(after, lambda w, n: F.slice(w, 1, n))
+    left = shortest(before, lambda w, n: F.slice(w, F.greatest(F.size(w) - n + 1, F.lit(1)), n))
+    return F.array_compact(F.array(right, left))
+
+
+def _pairs(words: Column) -> Column:
+    """Hashes of the neighbouring words of an array, each once."""
+    return F.transform(F.array(words), lambda w: F.array_distinct(F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.xxhash64(F.get(w, i), x))))[0]
 
 
 def ground(checked: DataFrame, passages: DataFrame, key: str) -> DataFrame:
-    """Claims not verified that a passage of the text's own quotes become 'cited', by the first such label."""
-
-    @F.udf("boolean")
-    def is_quote(claim, context, passage):
-        flat = lambda t: " ".join((t or "").split()).lower()
-        token = (claim or "").strip().lower()
-        return bool(token) and token in flat(passage) and quoted(flat(context), flat(passage), token)
-
-    held = passages.select(F.col(key).alias("__k"), "label", F.col("text").alias("__p"))
-    open_claims = checked.filter(F.col("status") != "verified").select(key, "ordinal", "claim", "context")
-    number = F.regexp_extract("label", r"(\d+)", 1).cast("int")
-    hits = open_claims.join(held, (F.col(key) == F.col("__k")) & F.contains(F.lower("__p"), F.lower("claim"))).filter(is_quote("claim", "context", "__p"))
-    hits = hits.groupBy(F.col(key).alias("__k"), F.col("ordinal").alias("__o")).agg(F.min(F.struct(number.alias("n"), "label"))["label"].alias("__l"))
-    out = checked.join(hits, (F.col(key) == F.col("__k")) & (F.col("ordinal") == F.col("__o")), "left")
+    """Claims not verified that a passage of the text's own quotes become 'cited', by the first such label.
+
+    A passage quotes a claim if it holds the number and four to six words beside it,
+    12 characters or longer, that stand on one side of the number in the claim's context.  Inner words
+    of a phrase are whole words of the passage, so claims meet passages by the phrase's
+    second and third word, within one text; only those that meet are read.  Case and
+    white space do not count.  A phrase has four words besides marks that stand alone.
+    """
+    held = passages.select(F.col(key).alias("__k"), "label", _flat(F.col("text")).alias("__p"))
+    index = held.select("__k", "label", F.explode(_pairs(_words(F.col("__p")))).alias("__g"))
+    spoken, token = _flat(F.col("context")), F.trim(F.lower("claim"))
+    at = F.instr(F.col("__c"), F.col("__n"))
+    claims = checked.filter((F.col("status") != "verified") & (token != "")).select(F.col(key).alias("__k"), F.col("ordinal").alias("__o"), spoken.alias("__c"), token.alias("__n")).filter(at > 0)
+    sides = _words(F.substring(F.col("__c"), F.lit(1), at - 1)), _words(F.substring(F.col("__c"), at + F.length("__n"), F.length("__c")))
+    asked = claims.select("__k", "__o", "__n", F.explode(_phrases(*sides)).alias("__q")).withColumn("__w", _words(F.col("__q"))).filter(F.size("__w") >= PHRASE_WORDS[0])
+    asked = asked.withColumn("__g", F.xxhash64(F.col("__w")[1], F.col("__w")[2])).drop("__w")
+    met = asked.join(index, ["__k", "__g"]).join(held, ["__k", "label"]).filter(F.contains("__p", "__n") & F.contains("__p", "__q"))
+    number = F.regexp_extract("label", r"(\d+)", 1).try_cast("int")
+    first = met.groupBy("__k", "__o").agg(F.min(F.struct(number.alias("n"), "label"))["label"].alias("__l"))
+    out = checked.join(first, (F.col(key) == F.col("__k")) & (F.col("ordinal") == F.col("__o")), "left")
     cited = F.col("__l").isNotNull()
     return out.withColumns({"status": F.when(cited, "cited").otherwise(F.col("status")), "matched_key": F.when(cited, F.col("__l")).otherwise(F.col("matched_key")), "matched_value": F.when(~cited, F.col("matched_value")), "deviation": F.when(~cited, F.col("deviation"))}).drop("__k", "__o", "__l")
 

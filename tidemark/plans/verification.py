@@ -54,6 +54,39 @@ def verification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc", "verified", "unsupported", "contradicted", F.round("numeric_accuracy", 4).alias("numeric_accuracy"), F.round("unsupported_rate", 4).alias("unsupported_rate"), F.round("citation_validity", 4).alias("citation_validity"), "confidence")
 
 
+# a figure beside words of the document: quoted with what follows, with what comes before, with other words, or not at all
+_QUOTES = """
+w AS (SELECT doc_id, {split} AS w FROM documents WHERE doc_id IS NOT NULL),
+q AS (SELECT doc_id, '$' || (doc_id + 11) || ' million' AS amount, '$' || (doc_id + 11 + CASE WHEN doc_id % 4 = 3 THEN 500000000 ELSE 0 END) || ' million' AS claim,
+      {s}(w, 1, 20){e} AS w1, {s}(w, 21, {n20}){e} AS w2, {s}(w, 35, {n35}){e} AS w3, {s}(w, 41, {n41}){e} AS w4, {s}(w, 41, {n60}){e} AS w5, {s}(w, 41, {n43}){e} AS w6 FROM w WHERE {size}(w) >= 60),
+t AS (SELECT doc_id, claim, w1 AS passage1, w2 || ' ' || amount || '  ' || w5 AS passage2, CASE doc_id % 4 WHEN 1 THEN w3 || ' ' || claim || ' is held' WHEN 2 THEN 'Now ' || claim || ' ' || w6 || ' but other words' ELSE 'Management notes ' || claim || ' ' || w4 END AS context,
+      CASE WHEN doc_id % 5 = 0 THEN 'verified' ELSE 'unsupported' END AS status FROM q)"""
+_SPARK_QUOTES = _QUOTES.format(split="filter(split(regexp_replace(text, '[ \\t\\n\\r]+', ' '), ' '), x -> x <> '')", s="array_join(slice", e=", ' ')", size="size", n20=20, n35=6, n41=6, n60=20, n43=3)
+_DUCK_QUOTES = _QUOTES.format(split="list_filter(string_split(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'), ' '), lambda x: x <> '')", s="array_to_string(list_slice", e=", ' ')", size="len", n20=40, n35=40, n41=46, n60=60, n43=43)
+
+
+def grounded_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims beside words of every document of 60 words or more, against two passages of it."""
+    texts = registry.run_sql(spark, sf_dir, f"WITH {_SPARK_QUOTES.strip()} SELECT * FROM t")
+    none = F.lit(None)
+    checked = texts.select("doc_id", F.lit(0).alias("ordinal"), "claim", "context", "status", none.cast("string").alias("matched_key"), none.cast("double").alias("matched_value"), none.cast("double").alias("deviation"))
+    seen = texts.select("doc_id", F.inline(F.array(F.struct(F.lit(7).alias("chunk"), F.lit(1).alias("turn"), F.col("passage1").alias("text")), F.struct(F.lit(3).alias("chunk"), F.lit(2).alias("turn"), F.col("passage2").alias("text")), F.struct(F.lit(7).alias("chunk"), F.lit(3).alias("turn"), F.col("passage1").alias("text")))))
+    labels = claims.ledger(seen, "doc_id", "chunk", "turn")
+    passages = labels.join(seen.dropDuplicates(["doc_id", "chunk"]), ["doc_id", "chunk"]).select("doc_id", "label", "text")
+    return claims.ground(checked, passages, "doc_id").select("doc_id", "claim", "status", "matched_key")
+
+
+def _quotes_sql() -> str:
+    flat = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
+    before, after = "list_filter(string_split(substr(c, 1, strpos(c, n) - 1), ' '), lambda x: x <> '')", "list_filter(string_split(substr(c, strpos(c, n) + length(n)), ' '), lambda x: x <> '')"
+    tries = [f"(CASE WHEN len({words}) >= {k} THEN regexp_replace(regexp_replace(array_to_string({part}, ' '), '^[ .,;:]+', ''), '[ .,;:]+$', '') END)" for k in (4, 5, 6) for words, part in ((after, f"list_slice({after}, 1, {k})"), (before, f"list_slice({before}, len({before}) - {k - 1}, len({before}))"))]
+    held = lambda p: " OR ".join(f"(length({t}) >= 12 AND contains({p}, {t}))" for t in tries)
+    return f"""WITH {_DUCK_QUOTES.strip()},
+f AS (SELECT *, {flat.format('context')} AS c, lower(claim) AS n, {flat.format('passage1')} AS p1, {flat.format('passage2')} AS p2 FROM t),
+g AS (SELECT *, CASE WHEN status = 'verified' THEN NULL WHEN contains(p1, n) AND ({held('p1')}) THEN 'C1' WHEN contains(p2, n) AND ({held('p2')}) THEN 'C2' END AS label FROM f)
+SELECT doc_id, claim, CASE WHEN label IS NOT NULL THEN 'cited' ELSE status END AS status, label AS matched_key FROM g"""
+
+
 def half_ulp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written numbers and what their last place leaves open."""
     rows = registry.run_sql(spark, sf_dir, "SELECT o_orderkey, printf(CASE o_orderkey % 3 WHEN 0 THEN '%.0f' WHEN 1 THEN '%.1f' ELSE '%.3f' END, o_totalprice + 0.0004e0) AS written FROM orders")
@@ -80,9 +113,10 @@ def oracle_sql() -> dict[str, str]:
         "nearest_evidence": _with("SELECT doc, unit, claim, status, matched_key FROM ch", _VALUES, _SAID, _duck_checked()),
         "citation_sets": _with(cite, _VALUES),
         "verification_report": _with(rep, _VALUES, _SAID, _duck_checked()),
+        "grounded_quotes": _quotes_sql(),
         "half_ulp": "SELECT o_orderkey, printf(CASE o_orderkey % 3 WHEN 0 THEN '%.0f' WHEN 1 THEN '%.1f' ELSE '%.3f' END, o_totalprice + 0.0004e0) AS written, CASE o_orderkey % 3 WHEN 0 THEN 0.5e0 WHEN 1 THEN 0.05e0 ELSE 0.0005e0 END AS half_ulp FROM orders",
     }
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (claims_extracted, nearest_evidence, citation_sets, verification_report, half_ulp)}
+    return {f.__name__: f for f in (claims_extracted, nearest_evidence, citation_sets, verification_report, grounded_quotes, half_ulp)}
