@@ -216,6 +216,25 @@ def test_preference_pairs(spark):
     assert (got[3].prompt, got[3].chosen, got[3].rejected) == (turn("user", "a"), "", "")
     assert got[4].prompt == "" and got[4].rejected.startswith(turn("assistant", "early")) and len(got) == 4
     assert chat.paired(chat.preference_format(df.filter("pair_id < 0"), 0)).count() == 0
+    # long conversations go on in further rows
+    parts = sorted((r.part, r) for r in chat.paired(chat.preference_format(df.filter("pair_id = 1"), len(rows)), 2).collect())
+    assert [p for p, _ in parts] == [0, 1, 2, 3]
+    assert all("".join(r[s] for _, r in parts) == one[s] for s in ("prompt", "chosen", "rejected"))
+    assert [r.rejected[a:b] for _, r in parts for a, b in r.rejected_spans] == ["bad<|end|>\n"] * 2
+
+
+def test_preference_query(spark, tmp_path):
+    import duckdb
+
+    rows = [(c, t, r, f"{x} {c % 3}") for c in range(40) for t, (r, x) in enumerate([("user", "hi"), ("assistant", "hello"), ("user", "more"), ("assistant", "thé end")][: 1 + c % 4])]
+    rows += [(50, None, "user", "early"), (50, 0, None, None), (51, 1, "assistant", "twice"), (51, 1, "assistant", "twice"), (None, 0, "user", "x"), (52, 0, "Assistant", ""), (53, 300, "assistant", "late"), (53, 2, "user", "a"), (54, None, "assistant", None)]
+    spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, side string").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    df = queries.op3_preference_format(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.OP3_SQL})").fetchall()
+    got = sorted(map(tuple, df.collect()))
+    assert got == sorted(want) and sum(bool(r[2]) for r in got) > 25
 
 
 def test_winnowing_against_brute_force(spark):

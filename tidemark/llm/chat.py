@@ -1,7 +1,7 @@
 """Preference formatting: one prompt from the turns two conversations share, and a masked completion of each.
 
-Rows are turns throughout: a conversation is never gathered into one row, so its
-length is not bounded by a task's memory.
+Rows are turns until a pair is put together, and then a row holds PART_TURNS turns
+of each side at most, so a conversation's length is not bounded by a task's memory.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .workspace import lookup
 
+#: Turn numbers of a conversation that one row of a pair holds.
+PART_TURNS = 256
+
 
 def preference_format(turns: DataFrame, total: int, pair: str = "pair_id", side: str = "side") -> DataFrame:
     """Turns of pairs -> rendered segments.
@@ -43,17 +46,19 @@ def preference_format(turns: DataFrame, total: int, pair: str = "pair_id", side:
     return found.select("pair_id", "segment", "conv_id", "turn", "role", rendered.alias("rendered"), F.when(train, F.char_length(head).cast("long")).otherwise(end).alias("loss_from"), end.alias("loss_to"))
 
 
-def paired(segments: DataFrame) -> DataFrame:
-    """Segments -> one row a pair: pair_id, prompt, chosen, rejected, chosen_spans, rejected_spans.
+def paired(segments: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+    """Segments -> pairs: pair_id, part, prompt, chosen, rejected, chosen_spans, rejected_spans.
 
     Each text is its turns one after the other, so the prompt stands once for both
-    completions; spans (from, to) are the code points of a completion to train on.
-    A row holds its pair's conversations whole; where those may be without bound,
-    train from the segments themselves.  A side without turns of its own is empty.
+    completions; spans (from, to) are the code points of a row's completion to train
+    on.  A pair is one row, part 0; one with turn numbers of ``part_turns`` or more goes on in
+    parts 1, 2, ..., whose texts follow those before.  A side without turns of its
+    own is empty.
     """
     turn = F.struct("turn", "conv_id", "rendered", "loss_from", "loss_to")
     sides = ("prompt", "chosen", "rejected")
-    rows = segments.groupBy("pair_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("segment") == s, turn))).alias(s) for s in sides])
+    part = F.greatest(F.floor(F.col("turn") / part_turns), F.lit(0)).cast("long").alias("part")
+    rows = segments.groupBy("pair_id", part).agg(*[F.array_sort(F.collect_list(F.when(F.col("segment") == s, turn))).alias(s) for s in sides])
     start = F.expr("named_struct('at', 0L, 'spans', cast(array() as array<struct<from:bigint,to:bigint>>))")
 
     def step(state, x):
@@ -63,4 +68,4 @@ def paired(segments: DataFrame) -> DataFrame:
 
     texts = [F.array_join(F.transform(s, lambda x: x["rendered"]), "").alias(s) for s in sides]
     spans = [F.aggregate(s, start, step)["spans"].alias(f"{s}_spans") for s in sides[1:]]
-    return rows.select("pair_id", *texts, *spans)
+    return rows.select("pair_id", "part", *texts, *spans)

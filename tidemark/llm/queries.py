@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import balls, bpe, chat, decontaminate, idfiles, neardup, packing, periodic, repeats, severity, warc, winnow
-from .workspace import Workspace
+from .workspace import Workspace, lookup
 
 
 def vocabulary(name: str) -> str:
@@ -38,23 +38,29 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation 2k as chosen, 2k + 1 as rejected: their shared turns as prompt, the rest as masked completions."""
-    turns = table(spark, sf_dir, "conversations")
-    turns = turns.withColumn("pair_id", F.shiftright("conv_id", 1)).withColumn("side", F.when(F.col("conv_id") % 2 == 0, "chosen").otherwise("rejected"))
-    return chat.preference_format(turns, turns.count())
-
-
-OP3_SQL = """
-WITH t AS (SELECT conv_id >> 1 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, conv_id,
-                  coalesce(turn, -1) AS turn, coalesce(lower(role), 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-counted AS (SELECT pair_id, turn, role, text, sum(CASE side WHEN 'chosen' THEN 1 ELSE -1 END) AS d FROM t GROUP BY ALL),
-forks AS (SELECT pair_id, min(turn) AS fork FROM counted WHERE d <> 0 GROUP BY pair_id),
-s AS (SELECT t.*, (fork IS NULL OR turn < fork) AS shared FROM t LEFT JOIN forks USING (pair_id)),
-r AS (SELECT *, CASE WHEN shared THEN 'prompt' ELSE side END AS segment, '<|' || role || '|>' || chr(10) AS head FROM s WHERE NOT shared OR side = 'chosen'),
-o AS (SELECT *, head || text || '<|end|>' || chr(10) AS rendered FROM r)
-SELECT pair_id, segment, conv_id, turn, role, rendered,
-       CAST(CASE WHEN segment <> 'prompt' AND role = 'assistant' THEN length(head) ELSE length(rendered) END AS BIGINT) AS loss_from,
-       CAST(length(rendered) AS BIGINT) AS loss_to FROM o
+    """Each conversation as chosen, and with its last turn contradicted as rejected: prompt and masked completions of each pair."""
+    turns = table(spark, sf_dir, "conversations").filter("conv_id is not null").select("conv_id", "turn", "role", "text")
+    total = turns.count()
+    last = turns.groupBy("conv_id").agg(F.coalesce(F.max("turn"), F.lit(-1)).alias("last"), F.count(F.lit(1)).alias("n_turns"))
+    turns = lookup(turns, last, "conv_id", "n_turns", total, "turn").withColumn("pair_id", F.col("conv_id"))
+    changed = F.when(F.coalesce("turn", F.lit(-1)) == F.col("last"), F.concat(F.lit("Not so: "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    sides = F.array(F.struct(F.lit("chosen").alias("side"), F.col("text").alias("said")), F.struct(F.lit("rejected").alias("side"), changed.alias("said")))
+    both = turns.select("pair_id", "conv_id", "turn", "role", F.inline(sides)).withColumnRenamed("said", "text")
+    pairs = chat.paired(chat.preference_format(both, 2 * total))
+    spans = [F.array_join(F.transform(f"{s}_spans", lambda x: F.concat_ws(":", x["from"].cast("string"), x["to"].cast("string"))), ",").alias(f"{s}_spans") for s in ("chosen", "rejected")]
+    return pairs.select("pair_id", "part", "prompt", "chosen", "rejected", *spans)
+
+
+OP3_SQL = f"""
+WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(lower(role), 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM t),
+o AS (SELECT conv_id, turn, CAST(greatest(turn // {chat.PART_TURNS}, 0) AS BIGINT) AS part, role, side, '<|' || role || '|>' || chr(10) AS head,
+             '<|' || role || '|>' || chr(10) || CASE WHEN side = 'rejected' THEN 'Not so: ' ELSE '' END || text || '<|end|>' || chr(10) AS rendered
+      FROM l, (VALUES ('prompt'), ('chosen'), ('rejected')) s(side) WHERE (side = 'prompt') = (turn < last)),
+p AS (SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, part, side ORDER BY turn, rendered ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM o)
+SELECT conv_id AS pair_id, part, coalesce(string_agg(rendered, '' ORDER BY turn, rendered) FILTER (WHERE side = 'prompt'), '') AS prompt,
+       {", ".join(f"coalesce(string_agg(rendered, '' ORDER BY turn, rendered) FILTER (WHERE side = '{s}'), '') AS {s}, coalesce(string_agg((pos + length(head)) || ':' || (pos + length(rendered)), ',' ORDER BY turn, rendered) FILTER (WHERE side = '{s}' AND role = 'assistant'), '') AS {s}_spans" for s in ("chosen", "rejected"))}
+FROM p GROUP BY conv_id, part
 """
 
 
