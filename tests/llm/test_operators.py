@@ -88,8 +88,17 @@ def test_ids_are_the_library():
         at = np.concatenate([[0], np.cumsum(counts)])
         for i, t in enumerate(texts):
             assert ids[at[i] : at[i + 1]].tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+        column, counts = own.encode_column(pa.array([*texts, None, "plain words only", "a\nb c\td"]))
+        at = np.concatenate([[0], np.cumsum(counts)])
+        for i, t in enumerate([*texts, "", "plain words only", "a\nb c\td"]):
+            assert column[at[i] : at[i + 1]].tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
         own.MEMO_CHARS = 0  # the memory starts anew
-    assert own.encode([])[1].tolist() == []
+    assert own.encode([])[1].tolist() == [] and own.encode_column(pa.array([], pa.string()))[1].tolist() == []
+    # a vocabulary that is not byte-level gets texts whole
+    path = queries.vocabulary("word_bpe_49k.json")
+    lib, own = Tokenizer.from_file(path), idfiles.IdEncoder(path)
+    ids, counts = own.encode_column(pa.array(["Some words here", None, "x  y"]))
+    assert ids.tolist() == [i for t in ("Some words here", "", "x  y") for i in lib.encode(t, add_special_tokens=False).ids] and len(counts) == 3
 
 
 def test_id_files(spark, docs, empty, monkeypatch):

@@ -119,8 +119,8 @@ def encode(docs: DataFrame, vocabulary_path: str, id_column: str, column: str, s
     def run(batches):
         part, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
-            for piece in slices(batch, "text", 1 << 20):
-                flat, counts = id_encoder(vocabulary_path, MEMORY).encode([t or "" for t in piece.column("text").to_pylist()])
+            for piece in slices(batch, "text", 2 << 20):
+                flat, counts = id_encoder(vocabulary_path, MEMORY).encode_column(piece.column("text"))
                 ids = np.full(len(flat) + len(counts), end_id, f"<u{width}")
                 ids[np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts)] = flat
                 counts = counts + 1

@@ -102,8 +102,11 @@ class Words:
                 out[i] = int.from_bytes(hashlib.blake2b(self.data[self.starts[i] : self.ends[i]], digest_size=8).digest(), "little")
             return out
 
-    def exact_ids(self, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of the words ``at``, equal where their bytes are: by hash, each then compared with the first of its hash."""
+    def exact_groups(self, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Groups of the words ``at`` with equal bytes: each group's first (in ``at``), and each word's group.
+
+        Words meet by hash, and each is then compared with the first of its hash.
+        """
         _, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
         other, size = at[first[ids]], self.ends[at] - self.starts[at]
         same, done, rows = size == self.ends[other] - self.starts[other], 0, np.arange(len(at))
@@ -114,11 +117,16 @@ class Words:
             same[rows[~equal]] = False
             done += 8
             rows = rows[equal & (size[rows] > done)]
-        if not same.all():  # never met: words that only share a hash get numbers of their own
+        if not same.all():  # never met: words that only share a hash get groups of their own
             known: dict = {}
             raw = self.data.tobytes()
-            return np.array([known.setdefault(raw[self.starts[i] : self.ends[i]], len(known)) for i in at.tolist()], np.int64)
-        return ids
+            ids = np.array([known.setdefault((h, raw[self.starts[i] : self.ends[i]]), len(known)) for i, h in zip(at.tolist(), hashes.tolist(), strict=True)], np.int64)
+            _, first = np.unique(ids, return_index=True)
+        return first, ids
+
+    def exact_ids(self, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the words ``at``, equal where their bytes are."""
+        return self.exact_groups(at, hashes)[1]
 
     def joined(self, keep: np.ndarray) -> pa.Array:
         """The kept words of each row, joined by one space; ``keep`` is a mask over all words."""
