@@ -33,6 +33,24 @@ def test_every_query_matches_oracle(spark, name):
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and len({r[0] for r in got}) == 25
 
 
+def test_blocks_turns_and_strips_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(300, 5)), 1)
+    v[40:60] = v[0]  # ties
+    ids = [int(i) for i in rng.choice(1 << 40, 250, replace=False)] + [20 * i for i in range(50)]
+    rows = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in zip(ids, v, strict=True)] + [(None, [1.0] * 5), (7, None)], "vec_id long, embedding array<float>")
+    want = []
+    f = v.astype(np.float32).astype(float)
+    for q in range(300):
+        if ids[q] % 20 == 0:
+            order = sorted(range(300), key=lambda j: (-round(float(np.round(f[q] @ f[j], 5)), 5), ids[j]))[:9]
+            want += [(ids[q], ids[j]) for j in order]
+    for name, value in (("QUERY_BLOCK", 7), ("ROW_BLOCK", 40), ("STRIP", 8), ("TURN_BYTES", 1000)):
+        monkeypatch.setattr(search, name, value)
+        got = search.dense_all(rows, 9).orderBy("query_id", "rk").collect()
+        assert sorted((r.query_id, r.id) for r in got) == sorted(want), name
+
+
 def test_diverse_rows_of_every_query(spark):
     got = search.mmr_topk_all(spark, SF).collect()
     assert len(got) == 25 * 8 and sorted({r.query_id for r in got}) == list(range(0, 500, 20))

@@ -57,8 +57,8 @@ def _query(name: str):
 
 #: Rows whose id this divides are the queries of the searches named _all.
 QUERY_STEP = 20
-#: Queries and rows of one matrix product.
-QUERY_BLOCK, ROW_BLOCK = 512, 4096
+#: Queries and rows of a block, rows of one matrix product, and bytes of queries that are broadcast at a time.
+QUERY_BLOCK, ROW_BLOCK, STRIP, TURN_BYTES = 512, 32768, 4096, 32 << 20
 
 _DENSE_ALL = f"SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk FROM (SELECT p.vec_id AS query_id, e.vec_id AS id, round({_DOT['duck'].format('e.embedding', 'p.embedding')}, 5) AS score FROM embeddings e CROSS JOIN embeddings p WHERE p.vec_id % {QUERY_STEP} = 0 AND e.vec_id IS NOT NULL AND e.embedding IS NOT NULL AND p.embedding IS NOT NULL) z"
 
@@ -67,30 +67,52 @@ def _cosine_all() -> str:
     return f"SELECT query_id, id AS vec_id, score FROM ({_DENSE_ALL}) d WHERE rk <= 40"
 
 
-def dense_all(rows: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rk): the ``k`` best of all rows for every query, by blocks of queries and of rows."""
-    rows = rows.filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
+def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """Ids and vectors in blocks of about ``size`` rows, whatever the ids are."""
+    n = max(1, -(-rows.count() // size))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(f"{name}_block")
+    return rows.groupBy(block).agg(F.collect_list("vec_id").alias(f"{name}_ids"), F.collect_list(F.col("embedding").cast("array<double>")).alias(name))
+
 
-    def blocks(df: DataFrame, ids, size: int, name: str) -> DataFrame:
-        return df.groupBy(F.floor(ids / size).alias("block")).agg(F.collect_list("vec_id").alias(f"{name}_ids"), F.collect_list("embedding").alias(name)).drop("block")
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` greatest scores, greatest first, ties by id."""
+    n = min(k, len(ids))
+    at = np.flatnonzero(scores >= np.partition(scores, len(ids) - n)[len(ids) - n])
+    return at[np.lexsort((ids[at], -scores[at]))][:n]
 
-    asked = blocks(rows.filter(F.col("vec_id") % QUERY_STEP == 0), F.col("vec_id") / QUERY_STEP, QUERY_BLOCK, "q")
-    pairs = blocks(rows, F.col("vec_id"), ROW_BLOCK, "r").crossJoin(asked)
+
+def dense_all(rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rk): the ``k`` best of all rows for every query, by blocks of queries and of rows.
+
+    Blocks of queries are broadcast, TURN_BYTES of them at a time; more queries take
+    further turns over the rows.  A block of rows gives ``k`` rows a query.
+    """
+    rows = rows.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding")
+    asked = rows.filter(F.col("vec_id") % QUERY_STEP == 0)
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
+    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    turns = max(1, -(-n_blocks * QUERY_BLOCK * 8 * (width + 1) // TURN_BYTES))
+    held, queries = _blocks(rows, ROW_BLOCK, "r"), _blocks(asked, QUERY_BLOCK, "q")
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 qs, rs = (batch.column(f"{c}_ids")[i].values.to_numpy() for c in "qr")
-                q, r = (batch.column(c)[i].values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) for c, n in (("q", len(qs)), ("r", len(rs))))
-                scores = np.round(q @ r.T, 5)
-                n = min(k, len(rs))
-                least = np.partition(scores, len(rs) - n, axis=1)[:, len(rs) - n]
-                for j in range(len(qs)):
-                    at = np.flatnonzero(scores[j] >= least[j])
-                    at = at[np.lexsort((rs[at], -scores[j, at]))][:n]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), qs[j])), pa.array(rs[at]), pa.array(scores[j, at] + 0.0)], names=["query_id", "id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, id long, score double")
+                q, r = (batch.column(c)[i].values.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for c, n in (("q", len(qs)), ("r", len(rs))))
+                ids, scores = np.zeros((len(qs), 0), np.int64), np.zeros((len(qs), 0))
+                for a in range(0, len(rs), STRIP):  # a strip of rows at a time, so no matrix grows with the block
+                    strip = np.round(q @ r[a : a + STRIP].T, 5)
+                    scores = np.concatenate([scores, strip], axis=1)
+                    ids = np.concatenate([ids, np.broadcast_to(rs[a : a + STRIP], strip.shape)], axis=1)
+                    best = [_best(s, x, k) for s, x in zip(scores, ids, strict=True)]
+                    scores, ids = np.array([s[b] for s, b in zip(scores, best, strict=True)]), np.array([x[b] for x, b in zip(ids, best, strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, ids.shape[1])), pa.array(ids.ravel()), pa.array(scores.ravel() + 0.0)], names=["query_id", "id", "score"])
+
+    found = None
+    for turn in range(turns):
+        part = queries.filter(F.col("q_block") % turns == turn) if turns > 1 else queries
+        one = held.crossJoin(F.broadcast(part)).select("q_ids", "q", "r_ids", "r").mapInArrow(run, "query_id long, id long, score double")
+        found = one if found is None else found.unionByName(one)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rk", F.row_number().over(best)).filter(F.col("rk") <= k)
 
