@@ -44,8 +44,9 @@ def brute(docs, queries, k):
     return out
 
 
-@pytest.mark.parametrize("block,k", [(3, 1), (3, 5), (128, 5), (7, 500)])
-def test_search_against_brute_force(spark, block, k):
+@pytest.mark.parametrize("block,k,direct", [(3, 1, 0), (3, 5, 8), (128, 5, 0), (7, 500, 1 << 30), (3, 5, 1 << 30)])
+def test_search_against_brute_force(spark, monkeypatch, block, k, direct):
+    monkeypatch.setattr(postings, "DIRECT", direct)
     docs = corpus(300) + [(1000, None), (1001, ""), (None, "word1 word2")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     index = postings.build(spark, df, block=block)

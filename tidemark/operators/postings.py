@@ -5,7 +5,8 @@ A search first finds, for each query, a score that its k-th best document reache
 (``_floors``).  Terms that together stay below it bring in no document, and neither
 does a block whose greatest weight, with the most that all other terms can add,
 stays below it: such blocks are never opened.  The documents found in the others
-are scored in full, so the result is exact.
+are scored in full, so the result is exact.  A query whose floor closes few blocks
+is summed over all its postings instead, which gives the same rows.
 
 Scores are whole numbers (millionths), so no order of addition shows.
 """
@@ -27,6 +28,8 @@ from tidemark.sources.scratch import Scratch
 K1, B = 1.5, 0.75
 #: Postings of a block; terms of a query, and documents for each wanted one, that give its first floor.
 BLOCK, SEED_TERMS, SEED_DOCS = 128, 8, 3
+#: A query that opens more than 1 in so many of its terms' postings is summed over all of them.
+DIRECT = 8
 #: A score's unit.
 UNIT = 1_000_000
 
@@ -124,9 +127,9 @@ def _floors(asked: DataFrame, index: Index, k: int) -> DataFrame:
     return _best(scores, k).groupBy("query_id").agg(F.max(F.when(F.col("place") == k, F.col("score"))).alias("floor"))
 
 
-def asked_terms(queries: DataFrame, index: Index, floors_of: int | None = None) -> DataFrame:
-    """(query_id, term, times, idf, most): the queries' terms that the index has, and the most points each can give."""
-    return queries.join(index.terms.select("term", "idf", "top"), "term").select("query_id", "term", "times", "idf", _points(F.col("times"), F.col("idf"), F.col("top")).alias("most"))
+def asked_terms(queries: DataFrame, index: Index) -> DataFrame:
+    """(query_id, term, times, idf, found, most): the queries' terms that the index has, their postings, and the most points each can give."""
+    return queries.join(index.terms.select("term", "idf", "top", "found"), "term").select("query_id", "term", "times", "idf", "found", _points(F.col("times"), F.col("idf"), F.col("top")).alias("most"))
 
 
 def opened_blocks(asked: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
@@ -152,9 +155,15 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, k: int = 10, s
     whole = Window.partitionBy("query_id")
     bounded = scratch.written(asked.join(floors, "query_id", "left").withColumn("floor", F.greatest(F.coalesce("floor", F.lit(0)), F.lit(1))).withColumn("all", F.sum("most").over(whole)), "bounded")
     _, opened = opened_blocks(bounded, index)
-    entries = opened.select("query_id", "times", "idf", "most", "all", "floor", F.explode(F.arrays_zip("docs", "weights")).alias("p"))
+    # where most blocks would be opened, adding up all of them once costs less than scoring what they bring in
+    share = opened.groupBy("query_id").agg(F.sum(F.size("docs")).alias("opened"))
+    every = bounded.groupBy("query_id").agg(F.sum("found").alias("all_postings"))
+    split = scratch.written(every.join(share, "query_id", "left").select("query_id", (F.coalesce("opened", F.lit(0)) * DIRECT >= F.col("all_postings")).alias("direct")), "split")
+    whole_sums = bounded.join(split.filter("direct"), "query_id").join(index.blocks, "term").select("query_id", "times", "idf", F.explode(F.arrays_zip("docs", "weights")).alias("p"))
+    direct = whole_sums.groupBy("query_id", F.col("p.docs").alias("doc_id")).agg(F.sum(_points(F.col("times"), F.col("idf"), F.col("p.weights"))).alias("score"))
+    entries = opened.join(split.filter("not direct"), "query_id").select("query_id", "times", "idf", "most", "all", "floor", F.explode(F.arrays_zip("docs", "weights")).alias("p"))
     # what a document may reach: all terms' most, less what the opened blocks show to be missing
     short = F.sum(_points(F.col("times"), F.col("idf"), F.col("p.weights")) - F.col("most"))
     likely = entries.groupBy("query_id", F.col("p.docs").alias("doc_id"), "all", "floor").agg(short.alias("short")).filter(F.col("all") + F.col("short") >= F.col("floor"))
     scores = _full_scores(scratch.written(likely.select("query_id", "doc_id"), "likely"), asked, index)
-    return _best(scores.filter("score > 0"), k)
+    return _best(scores.unionByName(direct).filter("score > 0"), k)
