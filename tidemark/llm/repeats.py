@@ -63,6 +63,18 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "prefix long, doc_id long, pos int, lo int, hi int")
 
 
+def _gathered(prefix, whole, lo, hi, salt, ids, pos, runs: pa.ListArray) -> pa.RecordBatch:
+    """One row for each class and salt of these suffixes, with its members: copies in one batch leave it as one row."""
+    order = np.lexsort((pos, ids, salt, hi, lo, whole, prefix))
+    columns = [c[order] for c in (prefix, whole, lo, hi, salt)]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns]) if len(order) else False
+    heads = np.flatnonzero(fresh)
+    members = pa.StructArray.from_arrays([pa.array(ids[order]), pa.array(pos[order])], names=["doc_id", "pos"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(order)).astype(np.int32)), members)
+    return pa.RecordBatch.from_arrays([*(pa.array(c[heads]) for c in columns), lists, runs.take(pa.array(order[heads]))], names=["prefix", "whole", "lo", "hi", "salt", "at", "runs"])
+
+
 def _suffixes(marked: DataFrame, length: int, whole: bool) -> DataFrame:
     """Suffixes at the anchors ``at`` of the texts: with the words around the prefix, or with the prints of whole runs."""
     half = length // 2
@@ -87,8 +99,7 @@ def _suffixes(marked: DataFrame, length: int, whole: bool) -> DataFrame:
                     edges = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                     # runs that overlap fix all words from the first run's start to the last one's end
                     whole_print = np.add.reduceat(mix(prints + back.astype(np.uint64)), edges[:-1]) if len(at) else prints
-                    cols = [pa.array(prefix), pa.array(ids), pa.array(pos), pa.array(lo), pa.array(hi), pa.array(whole_print.view(np.int64)), pa.ListArray.from_arrays(pa.array(edges), pa.array(prints.view(np.int64)))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["prefix", "doc_id", "pos", "lo", "hi", "whole", "runs"])
+                    yield _gathered(prefix, whole_print.view(np.int64), lo, hi, part.column("salt").to_numpy()[row], ids, pos, pa.ListArray.from_arrays(pa.array(edges), pa.array(prints.view(np.int64))))
                     continue
                 step, last = np.arange(reach), len(hashes) - 1
                 before = hashes[np.maximum(at[:, None] - 1 - step, 0)] * (step < hi[:, None])
@@ -100,7 +111,7 @@ def _suffixes(marked: DataFrame, length: int, whole: bool) -> DataFrame:
                     cols.append(pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]))
                 yield pa.RecordBatch.from_arrays(cols, names=["prefix", "doc_id", "pos", "lo", "hi", "before", "after"])
 
-    return marked.mapInArrow(run, "prefix long, doc_id long, pos int, lo int, hi int, whole long, runs array<long>" if whole else "prefix long, doc_id long, pos int, lo int, hi int, before binary, after binary")
+    return marked.mapInArrow(run, "prefix long, whole long, lo int, hi int, salt long, at array<struct<doc_id: long, pos: int>>, runs array<long>" if whole else "prefix long, doc_id long, pos int, lo int, hi int, before binary, after binary")
 
 
 def _nodes(prefix: np.ndarray, side: np.ndarray) -> np.ndarray:
@@ -187,10 +198,9 @@ def _large(space: Workspace, suffixes: DataFrame) -> DataFrame:
     anything is joined, so joins see lists and classes, not members.  All lists of a
     salt, about LIST_ROWS members, then meet, and give one row a document.
     """
-    total = suffixes.count()
+    total = suffixes.agg(F.sum(F.size("at"))).first()[0] or 0
     key = F.concat_ws(":", "prefix", "whole", "lo", "hi").alias("class")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(1 + total // LIST_ROWS)).alias("salt")
-    lists = suffixes.groupBy(key, salt).agg(F.collect_list(F.struct("doc_id", "pos")).alias("at"), F.min(F.struct("doc_id", "pos")).alias("first"), F.min(F.struct("prefix", "lo", "hi", "runs")).alias("k"), F.count(F.lit(1)).alias("n"))
+    lists = suffixes.groupBy(key, "salt").agg(F.flatten(F.collect_list("at")).alias("at"), F.min(F.array_min("at")).alias("first"), F.min(F.struct("prefix", "lo", "hi", "runs")).alias("k"), F.sum(F.size("at")).alias("n"))
     lists = space.table(lists, "lists")
     classes = whole = space.table(lists.groupBy("class").agg(F.min("first").alias("first"), F.min("k").alias("k"), F.sum("n").alias("n")), "classes")
     firsts = classes.select("class", "first", F.col("k.prefix").alias("prefix"), F.col("k.lo").alias("lo"), F.posexplode("k.runs").alias("i", "run"))
@@ -224,6 +234,7 @@ def repeated_runs(space: Workspace, docs: DataFrame, length: int) -> DataFrame:
     found = space.table(anchors(docs, length), "anchors")
     total = found.count()
     counts = space.table(found.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("large", F.col("n") > GROUP_ROWS), "prefixes")
+    in_large = counts.filter("large").agg(F.sum("n")).first()[0] or 0
     kept = lookup(found, counts, "prefix", "n", total, "pos").filter("large is not null")
     marks = kept.groupBy("doc_id", "large").agg(F.collect_set(F.struct("pos", "lo", "hi")).alias("at")).withColumnRenamed("doc_id", "__id")
     marks = space.table(marks, "marks")
@@ -235,7 +246,8 @@ def repeated_runs(space: Workspace, docs: DataFrame, length: int) -> DataFrame:
 
     out = space.table(_grown(_suffixes(at(False), length, False), length), "starts")
     if not marks.filter("large").isEmpty():
-        suffixes = space.table(_suffixes(at(True), length, True), "large")
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(1 + in_large // LIST_ROWS))
+        suffixes = space.table(_suffixes(at(True).withColumn("salt", salt), length, True), "large")
         out = out.unionByName(space.table(_large(space, suffixes), "large-starts"))
         space.drop(suffixes)
     space.drop(marks)
