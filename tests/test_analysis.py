@@ -1,9 +1,13 @@
 """Analysis and verification queries against DuckDB; known results of ratios, claims and reports."""
 
+import random
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tests import oracle
+from tidemark.functions import text
 from tidemark.functions.ratios import BANDS, BY_NAME, FACTORS, band_sql, display_sql, inputs, interpolate_sql, reason_sql, unit, value_sql
 from tidemark.operators import claims
 from tidemark.plans import analysis, registry, verification
@@ -26,6 +30,26 @@ def test_verification(spark, con, name):
     assert oracle.assert_same(verification.queries()[name](spark, SF), con, verification.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name", ["metric_compare", "half_ulp"])
+def test_numbers_halfway_between_two_texts(spark, tmp_path, name):
+    """Prices whose shortest digits end in 5 after the last place shown, over all remainders of the keys."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT 12 * p + r AS o_orderkey, CASE WHEN p = 0 THEN NULL WHEN p < 60 THEN p * 50000.0 WHEN p < 3000 THEN p * 250 / 1.02 ELSE p * 12.5 - 50 END::DOUBLE AS o_totalprice FROM range(6000) a(p), range(12) b(r)) TO '{tmp_path}/orders.parquet'")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    query, sql = (verification.queries(), verification.oracle_sql()) if name == "half_ulp" else (analysis.queries(), analysis.oracle_sql())
+    assert oracle.assert_same(query[name](spark, str(tmp_path)), con, sql[name]) > 69000
+
+
+def test_numbers_are_printed_as_in_c(spark):
+    rng = random.Random(5)
+    values = [0.0, -0.0, 0.5, 1.5, 2.5, -0.05, 0.25, 0.35, 1.005, 2.675, 50.65, 0.995, 9.995, -999.995, 5e-324, 2.0**52 + 0.5, 2.0**53, 8.9e18, float("nan"), float("inf"), float("-inf")]
+    values += [rng.randrange(10**8) / 10 ** rng.randrange(1, 6) for _ in range(3000)] + [rng.randrange(-(10**6), 10**6) / 2 ** rng.randrange(1, 9) for _ in range(3000)]
+    cols = [F.expr(text.fixed_spark("v", places)).alias(f"p{places}") for places in (0, 1, 2, 3)]
+    for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", *cols).collect():
+        assert r[1:] == tuple("%.*f" % (places, r.v) for places in (0, 1, 2, 3))
+    assert spark.range(1).select(F.expr(text.fixed_spark("NULL", 1))).first()[0] is None
+
+
 def test_no_view_is_left(spark):
     before = {t.name for t in spark.catalog.listTables()}
     registry.queries()["metadata_filter"](spark, SF).count()

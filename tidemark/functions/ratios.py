@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
+from .text import fixed_spark
+
 
 class Ratio(NamedTuple):
     name: str
@@ -84,6 +86,12 @@ def display_sql(value: str, unit: str) -> str:
     return f"CASE WHEN {value} IS NULL THEN 'n/a' ELSE {spelled} END"
 
 
+def display_spark(value: str, unit: str) -> str:
+    """The same in Spark."""
+    places, tail = {"%": (1, "%"), "x": (2, "x"), "days": (0, " days")}[unit]
+    return f"coalesce(concat({fixed_spark(value, places)}, '{tail}'), 'n/a')"
+
+
 def unit(r: Ratio) -> str:
     return {"100": "%", "days": "days"}.get(r.scale, "x")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions import text
-from tidemark.functions.ratios import RATIOS, display_sql, inputs, unit, value_sql
+from tidemark.functions.ratios import RATIOS, display_spark, display_sql, inputs, unit, value_sql
 
 from . import registry
 from .registry import COMPOSITE, EVENTS, RATIO_LONG, SCORES, TTM, _long, _with
@@ -22,7 +22,7 @@ _HEADLINE = ["revenue", "gross_profit", "operating_income", "ebitda", "net_incom
 
 EFFECTS, _EFFECTS = _long("eff", [f"'{r.name}' AS ratio, '{inputs(r)[0]}' AS numerator, '{inputs(r)[1]}' AS denominator, CAST({inputs(r)[0]} AS DOUBLE) AS num, CAST({inputs(r)[1]} AS DOUBLE) AS den, CAST({value_sql(r)} AS DOUBLE) AS value, {100 if unit(r) == '%' else 1} AS scale" for r in _TWO_INPUT])
 LINES, _LINES = _long("ln", [f"'{c}' AS line, CAST({c if c in ('cost_of_revenue', 'depreciation_amortization') else 'NULL'} AS DOUBLE) / nullif(revenue, 0) * 100 AS share" for c in MARGIN_LINES])
-SHOWN, _SHOWN = _long("disp", [f"'{r.name}' AS ratio, {display_sql(f'CAST({value_sql(r)} AS DOUBLE)', unit(r))} AS display" for r in RATIOS])
+SHOWN, _SHOWN = (_long("disp", [f"'{r.name}' AS ratio, {shown(f'CAST({value_sql(r)} AS DOUBLE)', unit(r))} AS display" for r in RATIOS])[i] for i, shown in enumerate((display_sql, display_spark)))
 CONCEPTS, _CONCEPTS = _long("cl", [f"'{c}' AS concept, CAST({c} AS DOUBLE) AS value" for c in ("revenue", "operating_income", "total_assets", "total_debt")])
 HAVE = ["revenue", "capex", "total_assets", "inventory", "goodwill", "rd_expense"]
 _KNOWN = {"goodwill": "CAST(NULL AS DOUBLE)", "rd_expense": "CAST(NULL AS DOUBLE)"}

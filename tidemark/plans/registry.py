@@ -146,7 +146,7 @@ def _spark(sql: str) -> str:
     """DuckDB's spelling to Spark's."""
     for duck, ours in _SPELLED:
         sql = sql.replace(duck, ours)
-    return sql
+    return text.printed_spark(sql)
 
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
