@@ -1,6 +1,7 @@
 """Analysis and verification queries against DuckDB; known results of ratios, claims and reports."""
 
 import random
+import time
 
 import duckdb
 import pytest
@@ -30,6 +31,23 @@ def test_verification(spark, con, name):
     assert oracle.assert_same(verification.queries()[name](spark, SF), con, verification.oracle_sql()[name])
 
 
+@pytest.fixture
+def balances(tmp_path):
+    """100,000 customers and as many suppliers of one nation, and small nations with unknown and equal balances."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i AS c_custkey, 1::INTEGER AS c_nationkey, (i * 7919 % 100003)::DOUBLE / 4 AS c_acctbal FROM range(100000) r(i) UNION ALL VALUES (200001, 2, NULL), (200000, 2, NULL), (200003, 3, 5.0), (200002, 3, 5.0), (200004, 3, 7.0), (200005, 3, NULL), (200006, NULL, 1.0)) TO '{tmp_path}/customer.parquet'")
+    con.execute(f"COPY (SELECT i AS s_suppkey, 1::INTEGER AS s_nationkey, (i * 104729 % 100019)::DOUBLE / 4 + 0.125 AS s_acctbal FROM range(100000) r(i) UNION ALL VALUES (200001, 2, 1.0), (200002, 2, NULL), (200003, 3, 6.0), (200004, 3, 5.0), (200005, 3, NULL), (200006, 4, 1.0), (200007, NULL, 1.0)) TO '{tmp_path}/supplier.parquet'")
+    return str(tmp_path)
+
+
+def test_nearest_of_many_in_one_nation(spark, balances):
+    start = time.monotonic()
+    got = {r.s_suppkey: (r.c_custkey, r.gap) for r in analysis.queries()["nearest_match"](spark, balances).collect()}
+    assert time.monotonic() - start < 60  # a window that starts anew at each row takes minutes
+    assert len(got) == 100005 and all(got[i][1] <= 0.38 for i in range(100000) if (i * 104729 % 100019) < 100002)
+    assert {i: v for i, v in got.items() if i > 200000} == {200001: (200000, None), 200002: (200000, None), 200003: (200002, 1.0), 200004: (200002, 0.0), 200005: (200002, None)}
+
+
 @pytest.mark.parametrize("name", ["money_format", "metric_compare", "half_ulp"])
 def test_numbers_halfway_between_two_texts(spark, tmp_path, name):
     """Prices whose shortest digits end in 5 after the last place shown, over all remainders of the keys."""

@@ -98,8 +98,15 @@ SPARK = [
 ]
 SPARK_ONLY = {
     "settings_fingerprint": SQL["settings_fingerprint"].replace("sha256('", "sha2('").replace("'\"}')", "'\"}', 256)"),
-    # neighbours in the order of balances instead of all pairs of a nation
-    "nearest_match": "WITH u AS (SELECT c_nationkey AS nk, c_acctbal AS bal, c_custkey AS ck, CAST(NULL AS BIGINT) AS sk FROM customer UNION ALL SELECT s_nationkey, s_acctbal, NULL, s_suppkey FROM supplier), n AS (SELECT sk, bal, max(CASE WHEN ck IS NOT NULL THEN struct(bal, -ck AS ck) END) OVER (PARTITION BY nk ORDER BY bal RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS below, min(CASE WHEN ck IS NOT NULL THEN struct(bal, ck) END) OVER (PARTITION BY nk ORDER BY bal RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above FROM u) SELECT sk AS s_suppkey, x.ck AS c_custkey, round(x.gap, 2) AS gap FROM (SELECT sk, array_min(array_compact(array(CASE WHEN below IS NOT NULL THEN struct(abs(bal - below.bal) AS gap, -below.ck AS ck) END, CASE WHEN above IS NOT NULL THEN struct(abs(bal - above.bal) AS gap, above.ck AS ck) END))) AS x FROM n WHERE sk IS NOT NULL) z WHERE x IS NOT NULL",
+    # neighbours in the order of balances instead of all pairs of a nation; both windows run from their start, so each row is added once, and
+    # equal balances are one row.  A balance that is unknown, or meets none that is known, has the first customer and no gap
+    "nearest_match": """WITH c AS (SELECT c_nationkey AS nk, c_acctbal AS bal, min(c_custkey) AS ck FROM customer WHERE c_nationkey IS NOT NULL GROUP BY c_nationkey, c_acctbal),
+s AS (SELECT DISTINCT s_nationkey AS nk, s_acctbal AS bal FROM supplier WHERE s_acctbal IS NOT NULL),
+u AS (SELECT nk, bal, ck FROM c WHERE bal IS NOT NULL UNION ALL SELECT nk, bal, NULL FROM s),
+n AS (SELECT nk, bal, ck, max(CASE WHEN ck IS NOT NULL THEN struct(bal, -ck AS ck) END) OVER (PARTITION BY nk ORDER BY bal RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS below, min(CASE WHEN ck IS NOT NULL THEN struct(bal, ck) END) OVER (PARTITION BY nk ORDER BY bal DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS above FROM u),
+x AS (SELECT nk, bal, array_min(array_compact(array(CASE WHEN below IS NOT NULL THEN struct(abs(bal - below.bal) AS gap, -below.ck AS ck) END, CASE WHEN above IS NOT NULL THEN struct(abs(bal - above.bal) AS gap, above.ck AS ck) END))) AS x FROM n WHERE ck IS NULL),
+f AS (SELECT nk, min(ck) AS ck FROM c GROUP BY nk)
+SELECT s_suppkey, coalesce(x.x.ck, f.ck) AS c_custkey, round(x.x.gap, 2) AS gap FROM supplier JOIN f ON f.nk = s_nationkey LEFT JOIN x ON x.nk = s_nationkey AND x.bal = s_acctbal""",
 }
 
 
