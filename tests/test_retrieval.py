@@ -59,6 +59,35 @@ def test_search_against_brute_force(spark, monkeypatch, block, k, direct):
     assert got == want
 
 
+def test_long_queries_are_products_of_blocks(spark, monkeypatch):
+    """Several blocks of each side, strips, chunks of full matrices and of pairs; no floor is sought, and no pair of a term and a posting becomes a row."""
+    for name, value in {"LONG": 3, "QUERY_ROWS": 40, "DOC_ROWS": 700, "SCORES": 60, "TERMS": 4, "DENSE": 3}.items():
+        monkeypatch.setattr(postings, name, value)
+    monkeypatch.setattr(postings, "_full_scores", lambda pairs, asked, index: pairs.sparkSession.createDataFrame([], "query_id long, doc_id long, score long"))
+    docs = corpus(300) + [(1000, None), (None, "word1 word2")]
+    index = postings.build(spark, spark.createDataFrame(docs, "doc_id long, text string"))
+    asked = {i: dict(Counter(t.split())) for i, t in docs[:30] if len(set(t.split())) > 3}
+    table = spark.createDataFrame([(q, w, n) for q, ws in asked.items() for w, n in ws.items()], "query_id long, term string, times long")
+    got = {}
+    for r in postings.search(spark, index, table, 7).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    assert len(got) > 10 and got == brute(docs, asked, 7)
+
+
+@pytest.mark.parametrize("k", [1, 10, 100])
+def test_product_of_a_block(monkeypatch, k):
+    rng = np.random.default_rng(k)
+    q, d = rng.integers(0, 4, (40, 60)) * (rng.random((40, 60)) < 0.4), rng.integers(0, 9, (500, 60)) * (rng.random((500, 60)) < np.linspace(0, 1, 60))
+    scores = q @ d.T
+    want = {(i, int(j), int(scores[i, j])) for i in range(40) for j in np.lexsort((np.arange(500), -scores[i]))[:k] if scores[i, j] > 0}
+    (qi, qt), (di, dt) = np.nonzero(q), np.nonzero(d)
+    for held, dense in ((1 << 22, 100), (2000, 2), (40, 10**9), (4000, 0)):
+        monkeypatch.setattr(postings, "SCORES", held)
+        monkeypatch.setattr(postings, "DENSE", dense)
+        got = postings.product(qt + 5, qi, q[qi, qt], dt + 5, di, d[di, dt], k)
+        assert {tuple(map(int, r)) for r in zip(*got, strict=True)} == want and len(got[0]) == len(want)
+
+
 def test_blocks_hold_all_postings_in_order(spark):
     index = postings.build(spark, spark.createDataFrame(corpus(200), "doc_id long, text string"), block=4)
     rows = index.blocks.collect()
