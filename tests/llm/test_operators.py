@@ -286,6 +286,18 @@ def test_gram_hashes_against_brute_force(spark):
         assert [h % 2**64 for h in r.h] == [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
 
 
+def test_spliced_marks_are_those_of_the_joined_text(spark):
+    rng = random.Random(11)
+    kinds = ["abcdefgh XYZ", "ab", "\u00e9\U0001F389aB", "\u03a3\u0391 x", "\u0130I ab"]
+    some = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(some(n, rng.choice(kinds)), some(m, rng.choice(kinds)), h, t) for n in (0, 5, 20, 21, 22, 60, 200) for m in (0, 7, 20, 21, 22, 60, 200) for h in {0, n // 2, n} for t in {m // 2, m, 300}]
+    df = spark.createDataFrame(rows, "a string, b string, h int, t int")
+    df = df.withColumn("ma", winnow.winnow(winnow.gram_hashes(df.a))).withColumn("mb", winnow.winnow(winnow.gram_hashes(df.b)))
+    whole = F.concat(F.substring(df.a, F.lit(1), df.h), F.substring(df.b, F.lit(1), df.t))
+    got = df.select(winnow.spliced_marks(df.a, df.ma, df.h, df.b, df.mb, df.t).alias("x"), winnow.winnow(winnow.gram_hashes(whole)).alias("y")).collect()
+    assert len(got) > 200 and all(r.x == r.y for r in got)
+
+
 def test_next_text(spark):
     df = spark.createDataFrame([(i * 7, f"t{i}") for i in range(50)], "doc_id long, text string")
     got = {r.doc_id: r.nx for r in winnow.with_next(df, "doc_id", "text", "nx").collect()}
