@@ -286,6 +286,33 @@ def test_gram_hashes_against_brute_force(spark):
         assert [h % 2**64 for h in r.h] == [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
 
 
+def test_known_words_of_a_column_are_found_by_their_bytes(monkeypatch):
+    import pyarrow as pa
+    from tidemark.llm.words import Words
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    rng = random.Random(12)
+    some = lambda: "".join(rng.choice("abc\u00e9\U0001F389") for _ in range(rng.randrange(1, 21)))
+    texts = [rng.choice(" \n\t").join(some() for _ in range(30)) for _ in range(40)] + ["", None, "a  b", "abcdefgh abcdefghi abcdefgh"]
+    column = pa.array(texts)
+    plain = idfiles.IdEncoder(path)
+    want = [plain.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+    def check(encoder):
+        ids, counts = encoder.encode_column(column)
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+    check(plain)
+    learnt = plain.learnt
+    check(plain)
+    assert plain.learnt == learnt > 500 and len(plain.memo) < 10  # only the text with two spaces is cut as a string
+    true = Words.hashes
+    monkeypatch.setattr(Words, "hashes", lambda self: true(self) % 50)  # words that share hashes
+    shared = idfiles.IdEncoder(path)
+    check(shared)
+    check(shared)
+
+
 def test_spliced_marks_are_those_of_the_joined_text(spark):
     rng = random.Random(11)
     kinds = ["abcdefgh XYZ", "ab", "\u00e9\U0001F389aB", "\u03a3\u0391 x", "\u0130I ab"]
