@@ -286,6 +286,17 @@ def test_gram_hashes_against_brute_force(spark):
         assert [h % 2**64 for h in r.h] == [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
 
 
+def test_near_duplicates_release_the_driver_after_each_round(spark, monkeypatch):
+    from tidemark.llm.workspace import Workspace
+
+    calls, true = [], Workspace.release
+    monkeypatch.setattr(Workspace, "release", lambda self: (calls.append(1), true(self)))
+    words = [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-1])), (3, "other words here")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark, df, size=3, percent=85).collect()}
+    assert got == {1: 1, 2: 1, 3: 3} and len(calls) >= 4
+
+
 def test_known_words_of_a_column_are_found_by_their_bytes(monkeypatch):
     import pyarrow as pa
     from tidemark.llm.words import Words

@@ -153,6 +153,7 @@ def _verify(space: Workspace, pairs: DataFrame, sigs: DataFrame, docs: DataFrame
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
     links = space.table(found.filter(100 * both >= percent * (F.size("shingles_a") + F.size("shingles_b") - both)).select("a", "b"), f"{label}-links")
     space.drop(likely, sets)
+    space.release()
     return links, n, links.count()
 
 
@@ -172,6 +173,7 @@ def components(space: Workspace, edges: DataFrame) -> DataFrame:
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         current = space.table(small, "cc")
         space.drop(large)
+        space.release()
         now = current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             return current.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
@@ -247,6 +249,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
         sets = space.table(_sets(docs, alone, size), "open-sets")
         places = space.table(_rare_places(alone, sets, percent, size_of[1] or 0), "places")
         space.drop(sets, alone)
+        space.release()
         met = places.groupBy("t").agg((F.count(F.lit(1)) * F.count_if(_leading(percent))).alias("k")).agg(F.sum("k")).first()[0] or 0
         if met <= PAIRS_PER_MEMBER * size_of[0]:
             break
@@ -268,4 +271,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     out = lookup(rows, named, "class", "n", total, "doc_id").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     out = space.table(out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")), "out")
     space.drop_all_but(out)
+    space.release()
     return out
