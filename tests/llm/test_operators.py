@@ -286,6 +286,20 @@ def test_gram_hashes_against_brute_force(spark):
         assert [h % 2**64 for h in r.h] == [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
 
 
+def test_lookups_of_few_rows_are_one_broadcast_join(spark):
+    from pyspark.sql import functions as F
+    from tidemark.llm import workspace
+
+    rows = spark.createDataFrame([(None if i % 7 == 0 else i % 5, i) for i in range(40)], "k long, i long")
+    table = rows.filter("k < 4").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("most"))
+    found = {whole: workspace.lookup(rows, table, "k", "n", 40, "i", whole=whole) for whole in (0, 39, workspace.WHOLE)}
+    got = {whole: sorted(df.collect(), key=lambda r: r.i) for whole, df in found.items()}
+    assert got[0] == got[39] == got[workspace.WHOLE] and len(got[0]) == 40
+    assert [r.most for r in got[0][:6]] == [None, 36, 37, 38, None, 30]
+    joins = {whole: df._jdf.queryExecution().optimizedPlan().toString().count("Join") for whole, df in found.items()}
+    assert joins == {0: 2, 39: 2, workspace.WHOLE: 1}
+
+
 def test_near_duplicates_release_the_driver_after_each_round(spark, monkeypatch):
     from tidemark.llm.workspace import Workspace
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .words import U, Words, mix, slices, whole_hash
-from .workspace import Workspace, lookup
+from .workspace import WHOLE, Workspace, lookup
 
 #: 32 bands of 5 minima: at a similarity of 0.8 a pair shares no band with a chance under 4e-6, at 0.85 under 1e-8.
 BANDS, ROWS = 32, 5
@@ -28,6 +28,8 @@ BATCH = 32
 MISS = 1e-9
 #: Hub texts with more than 1 in HUBS of all pairs are broadcast: fewer than HUBS.
 HUBS = 200
+#: Pairs up to which all their signatures (640 bytes), or shingle sets (no more than of hubs), are broadcast.
+WHOLE_VALUES = {"sig": 2048, "shingles": HUBS}
 #: Further hubs are compared first while more pairs than so many for each open member share a rare shingle.
 PAIRS_PER_MEMBER = 8
 #: A turn of further hubs that links fewer than 1 in so many of its pairs is the last.
@@ -141,7 +143,7 @@ def _verify(space: Workspace, pairs: DataFrame, sigs: DataFrame, docs: DataFrame
         for side in ("a", "b"):
             degree = rows.groupBy(side).agg(F.count(F.lit(1)).alias("__deg"))
             values = degree.join(values_of.select(F.col("rep").alias(side), F.col(column).alias(f"{column}_{side}")), side)
-            rows = lookup(rows, values, side, "__deg", total, "a" if side == "b" else "b", HUBS)
+            rows = lookup(rows, values, side, "__deg", total, "a" if side == "b" else "b", HUBS, WHOLE_VALUES[column])
         return rows
 
     pairs = space.table(pairs, f"{label}-pairs")
@@ -165,11 +167,11 @@ def components(space: Workspace, edges: DataFrame) -> DataFrame:
         total = 2 * current.count()
         both = current.union(current.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
-        large = lookup(both, least, "u", "n", total, "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = lookup(both, least, "u", "n", total, "v", whole=WHOLE).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = space.table(large, "cc-large")
         space.drop(current)
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        joined = lookup(large, least, "u", "n", total, "v")
+        joined = lookup(large, least, "u", "n", total, "v", whole=WHOLE)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         current = space.table(small, "cc")
         space.drop(large)
@@ -189,7 +191,7 @@ def _rare_places(members: DataFrame, sets: DataFrame, percent: int, total: int)
     """
     shingles = sets.join(members.select("rep", "c"), "rep").select("rep", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
     often = shingles.groupBy("t").agg(F.count(F.lit(1)).alias("f")).filter("f > 1").withColumn("often", F.col("f"))
-    shared = lookup(shingles, often, "t", "f", total, "rep").filter("often is not null")
+    shared = lookup(shingles, often, "t", "f", total, "rep", whole=WHOLE).filter("often is not null")
     ranked = shared.groupBy("rep", "c", "n").agg(F.array_sort(F.collect_list(F.struct("often", "t"))).alias("ts"))
     first = F.floor((F.col("n") * (100 - percent)) / 100).cast("int") + 1
     ranked = ranked.withColumn("alone", F.col("n") - F.size("ts")).withColumn("ts", F.slice("ts", F.lit(1), F.greatest(first - F.col("alone"), F.lit(0))))
@@ -231,7 +233,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     everyone = sigs.select("rep", "n", F.explode(keys).alias("band"))
     bands = everyone.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     bands = space.table(bands, "bands")
-    members = space.table(lookup(everyone, bands, "band", "k", total * BANDS, "rep").filter("hub is not null"), "members")
+    members = space.table(lookup(everyone, bands, "band", "k", total * BANDS, "rep", whole=WHOLE).filter("hub is not null"), "members")
     space.drop(bands)
     stars = space.table(members.filter("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     links, _, _ = _verify(space, stars, sigs, docs, size, percent, "star")
@@ -242,7 +244,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
         labelled = members.join(first, members.rep == first.node, "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("c"))
         order = F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "c")
         mixed = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(order).alias("pick"), F.count(F.lit(1)).alias("k")).filter("low <> high")
-        open_rows = space.table(lookup(labelled, mixed, "band", "k", total * BANDS, "rep").filter("low is not null"), "open")
+        open_rows = space.table(lookup(labelled, mixed, "band", "k", total * BANDS, "rep", whole=WHOLE).filter("low is not null"), "open")
         space.drop(first)
         alone = space.table(open_rows.select("rep", "n", "c").distinct(), "alone")
         size_of = alone.agg(F.count(F.lit(1)), F.sum("n")).first()
@@ -268,7 +270,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     space.drop(sigs, places, open_rows, *waste)
     found = components(space, links.union(more))
     named = space.table(reps.join(found, reps.rep == found.node, "left").select("class", F.coalesce("component", "rep").alias("component_id"), "n"), "named")
-    out = lookup(rows, named, "class", "n", total, "doc_id").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = lookup(rows, named, "class", "n", total, "doc_id", whole=WHOLE).withColumn("component_id", F.coalesce("component_id", "doc_id"))
     out = space.table(out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")), "out")
     space.drop_all_but(out)
     space.release()
