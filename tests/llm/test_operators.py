@@ -68,6 +68,23 @@ def test_range_coder_round_trip(n):
             list(idfiles.read_chunks(io.BytesIO(packed[:-1] + bytes([packed[-1] ^ 1]))))
 
 
+def test_blocks_share_the_chances_of_their_chunk(monkeypatch):
+    rng = np.random.default_rng(5)
+    follow = rng.integers(0, 3000, (3000, 4))
+    ids = np.zeros(100_000, np.int64)
+    for i, pick in enumerate(rng.integers(0, 4, len(ids) - 1).tolist()):
+        ids[i + 1] = follow[ids[i], pick]
+    packed = idfiles.MAGIC + idfiles.pack_chunk([1], [len(ids)], ids)
+    assert next(idfiles.read_chunks(io.BytesIO(packed)))[2].tolist() == ids.tolist()
+    assert 8 * len(packed) < 8 * len(ids)  # blocks that each start from nothing took 13.4 bits an id
+    counts = np.array([idfiles.BLOCK] * 4 + [100])
+    model, payloads = idfiles.encode_blocks(ids[: counts.sum()], counts)
+    model = idfiles._Model.unpacked(model.packed())
+    assert idfiles.decode_blocks(model, payloads[2:3], counts[2:3])[0].tolist() == ids[2 * idfiles.BLOCK : 3 * idfiles.BLOCK].tolist()
+    monkeypatch.setattr(idfiles, "GRID", 0)
+    assert idfiles.MAGIC + idfiles.pack_chunk([1], [len(ids)], ids) == packed
+
+
 def test_range_coder_of_odd_ids():
     for ids in (np.zeros(5000, np.int64), np.arange(5000) * 13 % 100003, np.tile([70000, 5, 70000, 9], 1200), np.random.default_rng(3).integers(0, 1 << 20, 4097)):
         packed = idfiles.MAGIC + idfiles.pack_chunk([1, 2], [4, len(ids) - 4], ids)
