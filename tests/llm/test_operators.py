@@ -367,6 +367,12 @@ def test_spliced_marks_are_those_of_the_joined_text(spark):
     assert len(got) > 200 and all(r.x == r.y for r in got)
 
 
+def test_sets_of_marks_are_compared_outside_lambdas(spark):
+    plan = queries.op7_winnowing(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    (bound,) = [line for line in plan.split("\n") if "Generate inline" in line]
+    assert "array_union" in plan and "array_union" not in bound
+
+
 def test_next_text(spark):
     df = spark.createDataFrame([(i * 7, f"t{i}") for i in range(50)], "doc_id long, text string")
     got = {r.doc_id: r.nx for r in winnow.with_next(df, "doc_id", "text", "nx").collect()}
