@@ -492,3 +492,41 @@ def test_archives(spark):
     assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {1: ("revisit", 2), 2: ("response", None), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None)}
     assert got[6].payload_bytes == 1999 and got[1].url == "http://a/%0D%0Ab"
     assert warc.archive_round_trip(spark, df.filter("page_id < 0"), Workspace(spark, "t")).count() == 0
+
+
+def test_no_id_is_searched_for(monkeypatch):
+    rng = np.random.default_rng(8)
+    ids = (rng.zipf(1.2, 60_000) % 50257).astype(np.int64)
+    ids[::3] = ids[1::3] // 2  # pairs that are frequent
+    searched, true = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *args, **more: (searched.append(np.size(v)), true(a, v, *args, **more))[1])
+    packs = set()
+    for grid in (1 << 30, 0):
+        monkeypatch.setattr(idfiles, "GRID", grid)
+        packs.add(idfiles.MAGIC + idfiles.pack_chunk([1], [len(ids)], ids))
+    (packed,) = packs
+    assert next(idfiles.read_chunks(io.BytesIO(packed)))[2].tolist() == ids.tolist()
+    assert sum(searched) < len(ids) // 10  # each id was, among all pairs of its chunk
+
+
+def test_contexts_of_all_sizes_are_read_back(monkeypatch):
+    """Contexts with one id, with more than FINE bits hold, and ids that nothing lists."""
+    rng = np.random.default_rng(4)
+    wide = np.stack([np.full(80_000, 7), 10 + np.repeat(np.arange(8_000), 10)], axis=1)
+    ids = np.concatenate([rng.permutation(wide).ravel(), np.tile([1, 2], 500), rng.integers(1 << 18, 1 << 20, 30_000)]).astype(np.int64)
+    for most in (idfiles.MOST, 100):
+        monkeypatch.setattr(idfiles, "MOST", most)
+        packed = idfiles.MAGIC + idfiles.pack_chunk([1], [len(ids)], ids)
+        assert next(idfiles.read_chunks(io.BytesIO(packed)))[2].tolist() == ids.tolist()
+
+
+def test_places_of_numbers():
+    from tidemark.llm.words import Places
+
+    rng = np.random.default_rng(2)
+    for kind, step in ((np.uint64, 1 << 40), (np.int64, 3), (np.int32, 1)):
+        keys = (rng.permutation(20_000) * step).astype(kind)
+        places = Places(keys[:0])
+        for a, b in ((0, 1), (1, 700), (700, 700), (700, 9_000)):
+            places.add(keys[a:b])
+            assert places.find(keys).tolist() == [i if i < b else -1 for i in range(len(keys))]
