@@ -530,3 +530,21 @@ def test_places_of_numbers():
         for a, b in ((0, 1), (1, 700), (700, 700), (700, 9_000)):
             places.add(keys[a:b])
             assert places.find(keys).tolist() == [i if i < b else -1 for i in range(len(keys))]
+
+
+def test_punctuation_after_a_letter_is_a_stretch():
+    import pyarrow as pa
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    own = idfiles.IdEncoder(path)
+    bits = ["a", "Zq", "'s", "'re", "7", ".", ",", "!?", "***", "'", "\u00e9", "\u00d7", "\u00f7", "\u0301", "\u4f60", "\u2026", "\U0001F389", "\ufb01"]
+    rng = random.Random(6)
+    texts = [rng.choice(" \n\t").join("".join(rng.choice(bits) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 9))) for _ in range(1500)]
+    texts += [f"{c}, x{c}. b{c}?! {c}{c}'s {c}" for c in map(chr, range(0xC0, 0x260))] + ["...", "a", "a,", ", a", "' a'"]
+    for _ in range(2):
+        ids, counts = own.encode_column(pa.array(texts))
+        want = [own.library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    few = idfiles.IdEncoder(path)
+    few.encode_column(pa.array(["x tree tree, tree. tree!? leaf leaf, leaf. leaf!?"]))
+    assert few.learnt == 6  # x, tree, leaf and three endings; each word with each ending was learnt before: 9
