@@ -512,9 +512,10 @@ def test_no_id_is_searched_for(monkeypatch):
 def test_contexts_of_all_sizes_are_read_back(monkeypatch):
     """Contexts with one id, with more than FINE bits hold, and ids that nothing lists."""
     rng = np.random.default_rng(4)
-    wide = np.stack([np.full(80_000, 7), 10 + np.repeat(np.arange(8_000), 10)], axis=1)
-    ids = np.concatenate([rng.permutation(wide).ravel(), np.tile([1, 2], 500), rng.integers(1 << 18, 1 << 20, 30_000)]).astype(np.int64)
-    for most in (idfiles.MOST, 100):
+    wide = np.stack([np.full(16_384 * 9, 7), 10 + np.repeat(np.arange(16_384), 9)], axis=1)
+    wide = np.concatenate([wide, np.tile([7, 10], (100_000, 1))])
+    ids = np.concatenate([rng.permutation(wide).ravel(), np.tile([1, 2], 500), rng.integers(1 << 18, 1 << 20, 40_000)]).astype(np.int64)
+    for most in (1 << 14, 1 << 13, 100):
         monkeypatch.setattr(idfiles, "MOST", most)
         packed = idfiles.MAGIC + idfiles.pack_chunk([1], [len(ids)], ids)
         assert next(idfiles.read_chunks(io.BytesIO(packed)))[2].tolist() == ids.tolist()
