@@ -379,6 +379,32 @@ def test_next_text(spark):
     assert got == {i * 7: f"t{(i - 1) % 50}" for i in range(50)}
 
 
+def test_runs_of_neighbours_grow_in_number_with_the_texts(spark, monkeypatch):
+    """Runs of a bounded size whatever the input; long texts, repeated and null ids, one id alone, no rows."""
+    monkeypatch.setattr(winnow, "BLOCKS", 3)
+    monkeypatch.setattr(winnow, "RUN_BYTES", 500)
+    rng = random.Random(5)
+    ids = [*rng.sample(range(-500, 500), 200), 7, 7, 7, None, None]
+    rows = [(i, f"text {rng.randrange(10**9)} " * 5) for i in ids]
+    for given in (rows, rows[:-2], rows[:1], rows[-1:], [(None, "a"), (3, "b")], [(9, "a"), (9, "a"), (9, "b")]):
+        df = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+        got = winnow.with_next(df, "doc_id", "text", "nx")
+        found = sorted((r.doc_id is None, -(r.doc_id or 0), r.text, r.nx) for r in got.collect())
+        assert sorted(x[2] for x in found) == sorted(t for _, t in given) and sorted(x[3] for x in found) == sorted(t for _, t in given)
+        after = {x[:3]: x[3] for x in found}
+        keys = sorted({x[:2] for x in found})
+        of = {k: {x[2] for x in found if x[:2] == k} for k in keys}
+        for k, following in zip(keys, keys[1:] + keys[:1]):  # a key's rows are followed by each other, and one of them by the next key's
+            assert sum(after[(*k, t)] in of[following] for t in of[k]) >= 1 and all(after[(*k, t)] in of[k] | of[following] for t in of[k])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(winnow, "_upto", lambda key, bounds, f=winnow._upto: counts.append(len(bounds)) or f(key, bounds))
+    counts = []
+    for n in (50, 200):
+        winnow.with_next(df.limit(n), "doc_id", "text", "nx")
+    size = sum(len(t) for _, t in rows[:200])
+    assert counts[1] > 3 * counts[0] > 9 and counts[1] >= 0.9 * size / 500 - 2
+
+
 def test_leaks(spark):
     rng = random.Random(3)
     item = [f"b{i}" for i in range(30)]
