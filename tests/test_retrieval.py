@@ -74,6 +74,62 @@ def test_long_queries_are_products_of_blocks(spark, monkeypatch):
     assert len(got) > 10 and got == brute(docs, asked, 7)
 
 
+def _shuffled(spark) -> int:
+    """Bytes that all shuffles so far have written."""
+    spark.range(8).repartition(2).count()  # the store may lag behind by a job
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    executors = sc.statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_postings_are_shuffled_once_however_many_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(postings, "LONG", 3)
+    monkeypatch.setattr(postings, "DOC_ROWS", 3000)
+    docs = corpus(2000)
+    index = postings.build(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    asked = {i: dict(Counter(t.split())) for i, t in docs[:120] if len(set(t.split())) > 3}
+    table = spark.createDataFrame([(q, w, n) for q, ws in asked.items() for w, n in ws.items()], "query_id long, term string, times long")
+    spent, got = [], []
+    for rows in (1 << 20, 150):
+        monkeypatch.setattr(postings, "QUERY_ROWS", rows)
+        before = _shuffled(spark)
+        got.append(sorted(map(tuple, postings.search(spark, index, table, 3).collect())))
+        spent.append(_shuffled(spark) - before)
+    assert len(asked) > 60 and got[0] == got[1] and len(got[0]) == 3 * len(asked)
+    assert spent[1] < 2 * spent[0], spent
+
+
+def test_short_queries_join_the_products_that_long_ones_need(spark, monkeypatch):
+    docs = corpus(200)
+    index = postings.build(spark, spark.createDataFrame(docs, "doc_id long, text string"))
+    asked = {1: {"word0": 1, "word30": 2}, 2: {f"word{i}": 1 for i in range(40)}}
+    table = spark.createDataFrame([(q, w, n) for q, ws in asked.items() for w, n in ws.items()], "query_id long, term string, times long")
+    monkeypatch.setattr(postings, "_floors", lambda *_: pytest.fail("a floor is sought"))
+    got = {}
+    for r in postings.search(spark, index, table, 5).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    assert got == brute(docs, asked, 5)
+
+
+def test_a_term_over_several_partitions_has_a_number_in_each(spark, monkeypatch):
+    """Blocks of few postings, texts in many batches and partitions: each number is one term's, and all postings are found."""
+    monkeypatch.setattr(postings, "SORTED", 50)
+    monkeypatch.setattr(postings, "PACKED", 5)
+    monkeypatch.setattr(postings, "LONG", 0)
+    docs = corpus(150)
+    index = postings.build(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(7), block=4)
+    blocks = index.blocks.collect()
+    assert len({(r.number, r.term) for r in blocks}) == len({r.number for r in blocks}) > len({r.term for r in blocks}) + 10
+    assert all(len(r.docs) <= 4 and r.weights == sorted(r.weights, reverse=True) and r.top == r.weights[0] for r in blocks)
+    asked = {i: dict(Counter(t.split())) for i, t in docs[:9]}
+    table = spark.createDataFrame([(q, w, n) for q, ws in asked.items() for w, n in ws.items()], "query_id long, term string, times long")
+    got = {}
+    for r in postings.search(spark, index, table, 6).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    assert got == brute(docs, asked, 6)
+
+
 @pytest.mark.parametrize("k", [1, 10, 100])
 def test_product_of_a_block(monkeypatch, k):
     rng = np.random.default_rng(k)
