@@ -199,6 +199,18 @@ def test_ablation_matches_oracle(spark):
         assert all(math.isclose(mine[c], v, abs_tol=2e-6) if isinstance(v, float) else mine[c] == v for c, v in zip(names, want, strict=True))
 
 
+def test_relevance_is_judged_for_found_rows_alone(spark, tmp_path):
+    """As by all pairs of a query and a relevant row, with null sources, unlabelled rows and queries without any."""
+    rng = random.Random(4)
+    docs = [(i, "w", rng.choice(["a", "b", None]), rng.choice(["de", "en"])) for i in range(400)] + [(400, "w", "lonely", "de")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, rng.randrange(2)) for i in range(0, 300)] + [(5, 1), (5, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    results = spark.createDataFrame([(s, q, p, i) for s in "xy" for q in range(0, 401, 20) for p, i in enumerate(rng.sample(range(401), 8), 1)], "setting string, query_id long, place int, id long")
+    every = retrieval.measures(results, retrieval.relevant_rows(spark, str(tmp_path))).orderBy("setting").collect()
+    found, counts = retrieval.relevant_found(spark, str(tmp_path), results)
+    assert 0 < found.count() <= results.count() and every == retrieval.measures(results, found, counts=counts).orderBy("setting").collect() and len(every) == 2
+
+
 def test_picks_are_those_of_marginal_relevance():
     rng = np.random.default_rng(2)
     for n in (0, 1, 5, 47, 60):
